@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import exact_dedup
+from brindle.llm import exact_dedup, simhash
 from brindle.llm.base import table
 
 QUERIES: dict = {}
@@ -19,6 +19,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op7_simhash_near_dedup")
+def op7(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op10_exact_dedup", exact_dedup.SQL)
 def op10(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import exact_dedup, simhash
+from brindle.llm import exact_dedup, simhash, token_files
 from brindle.llm.base import table
 
 QUERIES: dict = {}
@@ -24,6 +24,11 @@ def op7(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op9_token_files")
+def op9(spark, sf_dir):
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 @query("op10_exact_dedup", exact_dedup.SQL)
 def op10(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))

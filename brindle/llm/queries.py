@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import exact_dedup, simhash, token_files
+from brindle.llm import exact_dedup, packing, simhash, token_files
 from brindle.llm.base import table
 
 QUERIES: dict = {}
@@ -19,6 +19,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op4_best_fit_packing")
+def op4(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query("op7_simhash_near_dedup")
 def op7(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))

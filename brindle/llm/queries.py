@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import exact_dedup, language_id, packing, simhash, token_files
+from brindle.llm import exact_dedup, language_id, minhash, packing, simhash, token_files
 from brindle.llm.base import table
 
 QUERIES: dict = {}
@@ -24,6 +24,11 @@ def op4(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op5_document_fingerprints")
+def op5(spark, sf_dir):
+    return minhash.fingerprint_all(table(spark, sf_dir, "documents"))
+
+
 @query("op6_language_id")
 def op6(spark, sf_dir):
     return language_id.identify_all(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import exact_dedup, language_id, minhash, packing, simhash, token_files
+from brindle.llm import exact_dedup, language_id, minhash, mixing, packing, simhash, token_files
 from brindle.llm.base import table
 
 QUERIES: dict = {}
@@ -39,6 +39,12 @@ def op7(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op8_source_mixing")
+def op8(spark, sf_dir):
+    """Every source at least once, none more than 1.5 times."""
+    return mixing.mix_all(table(spark, sf_dir, "documents"), repetition_limit=1.5)
+
+
 @query("op9_token_files")
 def op9(spark, sf_dir):
     return token_files.round_trip(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import exact_dedup, language_id, minhash, mixing, packing, simhash, token_files
+from brindle.llm import exact_dedup, language_id, lm_scoring, minhash, mixing, packing, simhash, token_files
 from brindle.llm.base import table
 
 QUERIES: dict = {}
@@ -19,6 +19,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op2_lm_scoring")
+def op2(spark, sf_dir):
+    return lm_scoring.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op4_best_fit_packing")
 def op4(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import exact_dedup, language_id, lm_scoring, minhash, mixing, packing, simhash, token_files
+from brindle.llm import exact_dedup, language_id, lm_scoring, minhash, mixing, packing, simhash, token_files, url_filter
 from brindle.llm.base import table
 
 QUERIES: dict = {}
@@ -19,6 +19,14 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op1_url_filter")
+def op1(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query("op2_lm_scoring")
 def op2(spark, sf_dir):
     return lm_scoring.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import exact_dedup, language_id, lm_scoring, minhash, mixing, packing, simhash, token_files, url_filter
+from brindle.llm import exact_dedup, language_id, license_scan, lm_scoring, minhash, mixing, packing, simhash, token_files, url_filter
 from brindle.llm.base import table
 
 QUERIES: dict = {}
@@ -32,6 +32,11 @@ def op2(spark, sf_dir):
     return lm_scoring.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op3_license_scan")
+def op3(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op4_best_fit_packing")
 def op4(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))

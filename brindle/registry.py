@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.plans import relational
+from brindle.plans.book import Query
 
-MODULES = (relational,)
+BOOKS = (relational.BOOK,)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.QUERIES["J03_revenue_by_nation"](spark, sf_dir)
+    return relational.BOOK.queries["J03_revenue_by_nation"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
+def queries() -> dict[str, Query]:
+    return {name: query for book in BOOKS for name, query in book.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
+    return {name: sql for book in BOOKS for name, sql in book.oracles.items()}

@@ -2,8 +2,8 @@
 
 A segment is the bytes of one file: magic, number of ids and bytes per id, the Elias-Fano coded document starts (and the end), then
 the ids, little-endian, in 2 bytes each if the vocabulary allows. Segments follow one another in ascending doc_id order; executors
-can't write to a common file, so a data set is a table of segments (part, seq, doc ids, segment bytes) that any Spark writer stores.
-The start of a segment in the whole array is the sum of the ids before it, taken from the slim columns of the table.
+can't write to a common file, so a data set is a table of segments (part, ids before it in its part, doc ids, segment bytes) that any
+Spark writer stores. A part is a range of ids that one task writes; where it starts in the whole array follows from the parts' sizes.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from brindle.llm.tokens import default_path, encoded
 MAGIC = b"TIDS"
 HEAD = struct.Struct("<4sQB")
 SEGMENT_IDS = 1 << 21
-SCHEMA = "part int, seq int, n_ids long, doc_ids binary, null_ids int, segment binary"
+SCHEMA = "part int, before long, n_ids long, doc_ids binary, null_ids int, segment binary"
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -58,15 +58,15 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str
     dealt = rows.withColumn("part", bucket.cast("int")).repartitionById(max(1, len(cuts)), F.col("part")).sortWithinPartitions("part", "doc_id", "text")
 
     def segments(batches):
-        held, lengths, names, part, seq = [], [], [], 0, 0
+        held, lengths, names, part, before = [], [], [], 0, 0
         for batch in batches:
             doc_ids, where = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
             for a, ids, n in encoded(batch.column(1), vocabulary):
                 own = where[a : a + len(n)]
                 for x in np.split(np.arange(len(n)), np.flatnonzero(np.diff(own)) + 1):
                     if held and (own[x[0]] != part or sum(map(len, held)) >= SEGMENT_IDS):
-                        yield _row(part, seq, held, lengths, names)
-                        seq = seq + 1 if own[x[0]] == part else 0
+                        yield _row(part, before, held, lengths, names)
+                        before = before + sum(map(len, held)) if own[x[0]] == part else 0
                         held, lengths, names = [], [], []
                     part = int(own[x[0]])
                     begin = int(n[: x[0]].sum())
@@ -74,30 +74,28 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str
                     lengths.append(n[x])
                     names.append(doc_ids.slice(a + int(x[0]), len(x)))
         if held:
-            yield _row(part, seq, held, lengths, names)
+            yield _row(part, before, held, lengths, names)
 
     dealt.mapInArrow(segments, SCHEMA).write.parquet(path)
 
 
-def _row(part: int, seq: int, held: list, lengths: list, names: list) -> pa.RecordBatch:
+def _row(part: int, before: int, held: list, lengths: list, names: list) -> pa.RecordBatch:
     ids, own = np.concatenate(held), pa.chunked_array(names, pa.int64())
     nulls = own.null_count
     known = own.drop_null().to_numpy()
-    row = [[part], [seq], [len(ids)], [known.astype("<i8").tobytes()], [nulls], [pack(ids, np.concatenate(lengths))]]
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["part", "seq", "n_ids", "doc_ids", "null_ids", "segment"])
+    row = [[part], [before], [len(ids)], [known.astype("<i8").tobytes()], [nulls], [pack(ids, np.concatenate(lengths))]]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["part", "before", "n_ids", "doc_ids", "null_ids", "segment"])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     stored = spark.read.schema(SCHEMA).parquet(path)
-    slim = stored.select("part", "seq", "n_ids")
-    before = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    totals = slim.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row per range of ids
+    totals = stored.groupBy("part").agg(F.sum("n_ids").alias("n"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = totals.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    base = slim.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).join(first, "part")
-    placed = stored.join(base.select("part", "seq", (F.col("before") + F.col("ahead")).alias("base")), ["part", "seq"])
+    # One row per part, and no more parts than write() had partitions: small enough to broadcast whatever the size of the data.
+    placed = stored.join(F.broadcast(first), "part").withColumn("base", F.col("before") + F.col("ahead"))
 
     def documents(batches):
         for batch in batches:

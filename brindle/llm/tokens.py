@@ -1,14 +1,16 @@
-"""Token ids of whole texts by the tokenizers library, with each distinct piece of a batch encoded once.
+"""Token ids of whole texts by the tokenizers library, with each distinct piece of a slice encoded once.
 
-The public byte-level BPE splits a text by a fixed pattern before it merges bytes, and a single space always begins a new piece when a
-character that isn't white space follows. Texts in which every space does so can be cut before their spaces, and the ids of the pieces
-joined are the ids of the whole. Words repeat, so only the distinct pieces of a slice go to the tokenizer. Any other text (runs of
-spaces, a space before other white space, U+0000) is encoded as it is.
+The public byte-level BPE splits a text by a fixed pattern before it merges bytes. Where no two white-space characters meet, a space
+begins a new piece with the word after it, and a line end is a piece of its own; so the text can be cut there, and the ids of the
+parts joined are the ids of the whole. Words repeat, so only the distinct parts of a slice go to the tokenizer, one per line of a
+few long texts whose ids are told apart by the line end's id. Texts in which white space meets (or that hold U+0000) are encoded as
+they are.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +20,23 @@ from brindle.llm.base import slices, spread, texts_of
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-#: Pieces that a Python worker remembers, over its tasks.
-REMEMBERED = 200_000
-#: A space that is followed by white space or ends the text, white space being what the pattern's \s takes.
-ODD_SPACE = r"[\x00]|[ ](?:[\x09-\x0D\x1C-\x20\x85\p{Z}]|$|\z)"
+#: Bytes of text whose distinct parts are encoded together.
+SLICE = 8 << 20
+#: Parts whose ids a Python worker remembers from slice to slice and task to task; the first ones seen, which frequent words are among.
+REMEMBERED = 300_000
+#: What the pattern's \s takes.
+WHITE = r"[\x09-\x0D\x1C-\x20\x85\p{Z}]"
+ODD_TEXT = rf"\x00|{WHITE}{WHITE}"
+#: A part that can be one line of a longer text: no white space but one leading space.
+LINE = r"^ ?[^\x09-\x0D\x1C-\x20\x85\p{Z}]+$"
 
-_known: dict[tuple[str, str], np.ndarray] = {}
+
+#: By tokenizer: parts, all their ids, start and length of each part's.
+_known: dict[str, tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 @functools.cache
 def tokenizer(path: str):
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -46,38 +53,66 @@ def _encode(path: str, texts: list[str]) -> list[np.ndarray]:
     return [np.array(e.ids, np.uint32) for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _piece_ids(path: str, pieces: list[str]) -> list[np.ndarray]:
-    found = [_known.get((path, p)) for p in pieces]
-    new = [i for i, x in enumerate(found) if x is None]
-    for a in range(0, len(new), 4096):
-        for i, ids in zip(new[a : a + 4096], _encode(path, [pieces[i] for i in new[a : a + 4096]]), strict=True):
-            found[i] = ids
-            if len(_known) < REMEMBERED:
-                _known[path, pieces[i]] = ids
-    return found
+def _joined(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and how many each array has."""
+    return np.concatenate([*arrays, np.zeros(0, np.uint32)]), np.array([len(x) for x in arrays], np.int64)
+
+
+def _part_ids(path: str, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of distinct parts: all ids, start and length of each part's."""
+    (line_end,) = _encode(path, ["\n"])[0]
+    as_line = pc.match_substring_regex(parts, LINE).to_numpy(zero_copy_only=False)
+    lines, others = np.flatnonzero(as_line), np.flatnonzero(~as_line)
+    names = parts.take(pa.array(lines)).to_pylist()
+    texts = ["\n".join([*names[a : a + 8192], ""]) for a in range(0, len(names), 8192)]
+    ids, _ = _joined(_encode(path, texts))
+    ends = np.flatnonzero(ids == line_end)
+    other_ids, other_size = _joined(_encode(path, parts.take(pa.array(others)).to_pylist()))
+    start, size = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+    start[lines] = np.concatenate(([0], ends[:-1] + 1))[: len(lines)]
+    size[lines] = ends - start[lines]
+    start[others] = len(ids) + np.cumsum(other_size) - other_size
+    size[others] = other_size
+    return np.concatenate((ids, other_ids)), start, size
+
+
+def _remembered_ids(path: str, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_part_ids(), with only the parts encoded that aren't remembered."""
+    if path not in _known:
+        _known[path] = (parts.slice(0, 0), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    names, flat, start, size = _known[path]
+    at = pc.fill_null(pc.index_in(parts, value_set=names), -1).to_numpy(zero_copy_only=False)
+    fresh = np.flatnonzero(at < 0)
+    new_names = parts.take(pa.array(fresh))
+    new_flat, new_start, new_size = _part_ids(path, new_names)
+    own_start, own_size = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+    old = at >= 0
+    own_start[old], own_size[old] = start[at[old]], size[at[old]]
+    own_start[fresh], own_size[fresh] = len(flat) + new_start, new_size
+    if len(names) < REMEMBERED:
+        add = slice(0, REMEMBERED - len(names))
+        kept = new_flat[spread(new_start[add], new_size[add])]
+        _known[path] = (pa.concat_arrays([names, new_names[add]]), np.concatenate((flat, kept)), np.concatenate((start, len(flat) + np.cumsum(new_size[add]) - new_size[add])), np.concatenate((size, new_size[add])))
+    return np.concatenate((flat, new_flat)), own_start, own_size
 
 
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, each text ended by END_ID, and the number of ids of each text with it."""
-    n = len(texts)
-    odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
+    odd = pc.match_substring_regex(texts, ODD_TEXT).to_numpy(zero_copy_only=False)
     plain = np.flatnonzero(~odd)
-    pieces = pc.split_pattern(pc.replace_substring(texts.take(pa.array(plain)), " ", "\x00 "), "\x00")
-    coded = pieces.flatten().dictionary_encode()
-    ids = _piece_ids(path, coded.dictionary.to_pylist())
-    size = np.array([len(x) for x in ids], np.int64)
-    flat, start = np.concatenate([*ids, np.zeros(0, np.uint32)]), np.cumsum(size) - size
+    marked = pc.replace_substring(pc.replace_substring(texts.take(pa.array(plain)), " ", "\x00 "), "\n", "\x00\n\x00")
+    parts = pc.split_pattern(marked, "\x00")
+    coded = parts.flatten().dictionary_encode()
+    flat, start, size = _remembered_ids(path, coded.dictionary)
     code = coded.indices.to_numpy(zero_copy_only=False)
-    n_pieces = np.diff(pieces.offsets.to_numpy())
-    own = flat[spread(start[code], size[code])]
-    plain_size = np.add.reduceat(np.append(size[code], 0), np.minimum((np.cumsum(n_pieces) - n_pieces), len(code))) * (n_pieces > 0) if len(plain) else np.zeros(0, np.int64)
-    lengths = np.ones(n, np.int64)
-    lengths[plain] += plain_size
-    whole = _encode(path, texts.filter(pa.array(odd)).to_pylist()) if odd.any() else []
+    bounds = np.concatenate(([0], np.cumsum(size[code])))[parts.offsets.to_numpy()] if len(code) else np.zeros(1, np.int64)
+    whole = _encode(path, texts.filter(pa.array(odd)).to_pylist())
+    lengths = np.ones(len(texts), np.int64)
+    lengths[plain] += np.diff(bounds)
     lengths[odd] += np.array([len(x) for x in whole], np.int64)
     out = np.full(int(lengths.sum()), END_ID, np.uint32)
     at = np.cumsum(lengths) - lengths
-    out[spread(at[plain], plain_size)] = own
+    out[spread(at[plain], np.diff(bounds))] = flat[spread(start[code], size[code])]
     for i, x in zip(np.flatnonzero(odd), whole, strict=True):
         out[at[i] : at[i] + len(x)] = x
     return out, lengths
@@ -86,5 +121,5 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 def encoded(array: pa.Array, path: str):
     """token_ids() of slices of bounded size: (first row, ids, lengths)."""
     texts = texts_of(array)
-    for a, b in slices(texts):
+    for a, b in slices(texts, SLICE):
         yield a, *token_ids(texts.slice(a, b - a), path)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import relational, searching
+from brindle.plans import budgets, relational, searching
 from brindle.plans.book import Query
 
-BOOKS = (relational.BOOK, searching.BOOK)
+BOOKS = (relational.BOOK, searching.BOOK, budgets.BOOK)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

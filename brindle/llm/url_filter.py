@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.base import cut
+from brindle.llm.base import cut, parts
 
 #: Letters, digits and marks that are told apart; code 0 is the start, the code after the last is any other character.
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789./-_"
@@ -131,7 +131,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id")
     held = F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0
     labelled = ruled.filter("ruled is not null").select("url", (F.col("ruled") == "allow").alias("accepted"))
     model = train(labelled.filter(~held))
-    urls = ruled.select("url").distinct()
+    # Scoring makes a row per character, so the few bytes of the URLs are spread over all tasks.
+    urls = ruled.select("url").distinct().repartition(parts(pages.sparkSession))
     scores = cut(score(urls.withColumn("same", F.col("url")), model, "same"))
     seen = labelled.filter(held).distinct().join(scores, F.col("url") == F.col("same"))
     limit = threshold(seen.select("score", "accepted"))

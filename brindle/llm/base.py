@@ -52,6 +52,14 @@ def texts_of(array: pa.Array) -> pa.Array:
     return pc.fill_null(array.cast(pa.large_string()), "")
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of texts, between ASCII white space, and the number of words of each text; a blank text has none."""
+    trimmed = pc.ascii_trim_whitespace(texts)
+    split, blank = pc.ascii_split_whitespace(trimmed), pc.equal(pc.binary_length(trimmed), 0)
+    words = split.flatten()
+    return words.filter(pc.not_equal(words, "")), np.diff(split.offsets.to_numpy()) - blank.to_numpy(zero_copy_only=False)
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold at most so many bytes, or one row."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.base import bucket_of, mix, parts, range_buckets, slices, spread, texts_of
+from brindle.llm.base import bucket_of, mix, parts, range_buckets, slices, split_words, spread, texts_of
 
 BINS = 512
 BITS = 4
@@ -37,12 +37,11 @@ def _walk() -> np.ndarray:
 
 def shingle_hashes(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word shingles of all texts, and their number by text; a text of fewer words has one shingle, without words none."""
-    split = pc.ascii_split_whitespace(pc.utf8_lower(texts))
-    coded = split.flatten().dictionary_encode()
+    every, n_words = split_words(pc.utf8_lower(texts))
+    coded = every.dictionary_encode()
     words = coded.dictionary.cast(pa.large_binary()).to_pylist()
     own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
     flat = own[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
-    n_words = np.diff(split.offsets.to_numpy())
     first = np.cumsum(n_words) - n_words
     padded = np.concatenate((flat, np.zeros(size, np.uint64)))
     n = np.where(n_words == 0, 0, np.maximum(1, n_words - size + 1))

@@ -233,7 +233,7 @@ def test_genetic_packing_beats_its_start():
     assert packing.least_bins(lengths, 2048) <= len(best) <= len(first)
     child = packing.crossover(first, best, lengths, 2048, rng)
     assert sorted(i for g in child for i in g) == list(range(len(lengths)))
-    assert packing.least_bins([1500, 1500, 700, 300], 2048) == 2
+    assert packing.least_bins([1500, 1500, 500, 300], 2048) == 2 and packing.least_bins([1500, 1500, 700, 300], 2048) == 3
 
 
 # --- fingerprints, language, mixing ------------------------------------------
@@ -254,8 +254,9 @@ def test_fingerprints(spark, odd, none, docs):
         assert sorted(map(str, [w[:3] for w in want])) == sorted(str(k) for k, v in got.items() for _ in v)
         shingles = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set()
         alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-        wrong = [abs(got[w[:3]][0].near_edited - alike(shingles(w[3]), shingles(w[4]))) for w in want if len(w[3].split()) > 60]
-        assert np.sqrt(np.mean(np.square(wrong))) < 0.05
+        wrong = [abs(got[w[:3]][0].near_edited - alike(shingles(w[3]), shingles(w[4]))) for w in want if len(shingles(w[3])) > 60]
+        assert not wrong or np.sqrt(np.mean(np.square(wrong))) < 0.05  # the estimate's error depends on the number of distinct shingles
+        assert all(got[w[:3]][0].near_next == float(not w[5].split()) for w in want if not w[3].split())
         by_text = {}
         for w in want:
             by_text.setdefault(w[3], set()).add(got[w[:3]][0].fingerprint)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ K1, B = 1.2, 0.75
 CANDIDATES = 30
 RRF = 60
 DIMENSIONS = 64
+#: Questions of a block of a search by meaning: what is broadcast at once.
+BLOCK = 1024
 
 
 def tokens(c: Column) -> Column:
@@ -65,16 +69,23 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def by_meaning(vectors: DataFrame, questions: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = CANDIDATES) -> DataFrame:
+def by_meaning(vectors: DataFrame, questions: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = CANDIDATES, block: int = BLOCK) -> DataFrame:
     """The nearest vectors of each question (question, vector): (question, id, score, place). Others of another length are left out.
 
-    Every vector is compared with every question: a block of questions, which the caller bounds, is brought to each task as one array.
+    Every vector is compared with every question. Questions are brought to the tasks in blocks of about `block`, dealt by hash, so what
+    is broadcast at once has one size however many there are; a block's ranking keeps its top rows before anything is shuffled.
     """
-    block = questions.agg(F.collect_list(F.struct("question", "vector")).alias("asked"))
-    both = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("own")).join(F.broadcast(block)).select("id", "own", F.explode("asked").alias("q"))
-    scored = both.where(F.size("own") == F.size("q.vector")).select(F.col("q.question").alias("question"), "id", F.round(dot(F.col("own"), F.col("q.vector")), 6).alias("score"))
+    blocks = max(1, -(-questions.count() // block))
+    dealt = questions.select("question", "vector", F.pmod(F.xxhash64("question"), F.lit(blocks)).alias("block"))
+    own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("own"))
     place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("place", place.cast("long")).where(F.col("place") <= top)
+    found = []
+    for number in range(blocks):
+        asked = dealt.where(F.col("block") == number).agg(F.collect_list(F.struct("question", "vector")).alias("asked"))
+        both = own.join(F.broadcast(asked)).select("id", "own", F.explode("asked").alias("q")).where(F.size("own") == F.size("q.vector"))
+        scored = both.select(F.col("q.question").alias("question"), "id", F.round(dot(F.col("own"), F.col("q.vector")), 6).alias("score"))
+        found.append(scored.withColumn("place", place.cast("long")).where(F.col("place") <= top))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def fuse(words: DataFrame, meaning: DataFrame, top: int = 6) -> DataFrame:

@@ -27,6 +27,8 @@ RELATIVE = 0.2
 #: Slots of the table; 2 slots per n-gram.
 SLOTS = 1 << 20
 UNKNOWN = "und"
+#: Bytes of text that a task works on at once: the arrays of a slice are many times as large, and two tasks share an executor.
+SLICE = 1 << 20
 
 
 @dataclass
@@ -81,7 +83,7 @@ def gram_counts(rows: DataFrame, text_col: str = "text", lang_col: str = "lang")
     def count(batches):
         for batch in batches:
             texts, langs = texts_of(batch.column(0)), batch.column(1)
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 codes, per_text, words = _words(texts.slice(a, b - a))
                 hashes, owners, _ = _grams(words)
                 own = langs.slice(a, b - a).dictionary_encode()
@@ -119,7 +121,7 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", grams
 def predict(texts: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndarray]:
     """Language and score of each text: und and 0 without a letter; else the share that the language has of all corrected counts."""
     texts, names, scores = texts_of(texts), [], []
-    for a, b in slices(texts):
+    for a, b in slices(texts, SLICE):
         codes, per_text, words = _words(texts.slice(a, b - a))
         hashes, owners, letters = _grams(words)
         x, y = _slots(hashes)

@@ -376,3 +376,39 @@ def test_lm_scores(spark, odd, none, docs):
     marks = spark.createDataFrame([(i, q, 0) for i, _, q in good[::2] + bad[::2]], "doc_id long, quality int, toxic int")
     score = {r.doc_id: r.score for r in lm_scoring.score_all(made, marks).collect()}
     assert min(score[i] for i, *_ in good) > max(score[i] for i, *_ in bad)
+
+
+def test_lm_losses_equal_brute_force(spark, monkeypatch):
+    """Every word and every pair has a count of its own, over many slices and ranges."""
+    monkeypatch.setattr(lm_scoring, "SLICE", 1 << 13)
+    monkeypatch.setattr(lm_scoring, "RANGE", 1 << 15)
+    rng = random.Random(8)
+    data = [(None if i < 3 else i // 2 if i < 9 else i, " ".join(f"W{int(rng.paretovariate(0.8)) if rng.random() < 0.3 else rng.randrange(300_000)}" for _ in range(rng.randrange(300)))) for i in range(1200)]
+    good = {i for i, _ in data if i is not None and i % 3 == 0}
+    made = spark.createDataFrame(data, "doc_id long, text string").withColumn("fold", F.xxhash64("text").bitwiseAND(F.lit(1)))
+    marks = spark.createDataFrame([(i, 1, 0) for i in sorted(good)] * 2 + [(10**9, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    folded = rows(made)
+    words, pairs = {}, {}
+    for i, text, f in folded:
+        own = text.lower().split()
+        for table, keys in ((words, own), (pairs, zip(own[:-1], own[1:], strict=True))):
+            for k in keys:
+                table[f, i in good, k] = table.get((f, i in good, k), 0) + 1
+    size = len({k for _, _, k in words})
+    assert size > 1 << 16, "more words than any fixed vocabulary held"
+    total = {(f, g): sum(n for (a, b, _), n in words.items() if (a, b) == (f, g)) for f in (0, 1) for g in (False, True)}
+    want = []
+    for i, text, f in folded:
+        own, loss = text.lower().split(), []
+        for g in (False, True):
+            scale, x = min(total[1 - f, False], total[1 - f, True]) / total[1 - f, g], 0.0
+            for k, w in enumerate(own):
+                p = (words.get((1 - f, g, w), 0) * scale + 1) / (total[1 - f, g] * scale + size)
+                if k:
+                    p = min(1.0, (pairs.get((1 - f, g, (own[k - 1], w)), 0) * scale + 64 * p) / (words.get((1 - f, g, own[k - 1]), 0) * scale + 64))
+                x -= math.log(p)
+            loss.append(x / max(1, len(own)))
+        want.append((str(i), len(own), loss[1], loss[0]))
+    got = sorted((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in lm_scoring.score_all(made.drop("fold"), marks).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in sorted(want)]
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in sorted(want)], rtol=1e-9)

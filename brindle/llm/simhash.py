@@ -172,9 +172,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return slim.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def first_of_components(docs: DataFrame, slim: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first row of each label of slim (doc_id, sha, label, a row per document), by id and text, with all its columns.
+
+    Null ids go after all others. A row is known by its id and its text, so unrelated rows without an id, or with one id, all stay.
+    """
+    first = slim.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("x"))
+    stay = first.select(F.col("x.doc_id").alias("_stay_id"), F.col("x.sha").alias("_stay_sha"))
+    marked = docs.withColumns({"_stay_id": F.col(id_col).cast("long"), "_stay_sha": sha_of(text_col)})
+    same = marked["_stay_id"].eqNullSafe(stay["_stay_id"]) & (marked["_stay_sha"] == stay["_stay_sha"])
+    return marked.join(stay, same, "left_semi").dropDuplicates(["_stay_id", "_stay_sha"]).select(*docs.columns)
+
+
+def sha_of(text_col: str) -> F.Column:
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component: the one with the smallest id, with all its columns."""
-    stay = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_stay")).distinct()
-    marked = docs.withColumn("_stay", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
-    return marked.join(stay, "_stay", "left_semi").dropDuplicates(["_stay"]).select(*docs.columns)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    slim = cut(with_fingerprint(base).select("doc_id", sha_of("text").alias("sha"), "fingerprint"))
+    labels = components(links(slim.select("fingerprint").distinct()))
+    labelled = slim.join(labels, F.col("fingerprint") == F.col("node"), "left").select("doc_id", "sha", F.coalesce("label", "fingerprint").alias("label"))
+    return first_of_components(docs, labelled, id_col, text_col)

@@ -412,3 +412,11 @@ def test_lm_losses_equal_brute_force(spark, monkeypatch):
     got = sorted((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in lm_scoring.score_all(made.drop("fold"), marks).collect())
     assert [r[:2] for r in got] == [r[:2] for r in sorted(want)]
     assert np.allclose([r[2:] for r in got], [r[2:] for r in sorted(want)], rtol=1e-9)
+
+
+def test_near_copies_without_an_id_or_with_one_id_stay(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    made = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (6, texts[2]), (None, texts[2]), (7, None)]
+    made = spark.createDataFrame(made, "doc_id long, text string")
+    want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, None)]
+    assert sorted(rows(simhash.drop_near_copies(made)), key=str) == sorted(want, key=str)

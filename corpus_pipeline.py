@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, exact dedup, SimHash near-dedup, source mixing, best-fit packing, each over all that came before.
+"""The corpus pipeline: language ID, exact dedup, near-dedup, source mixing, best-fit packing, each over all that came before.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet, and read again as the docs of the next one. All but
 the last return the columns of `documents`.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import exact_dedup, language_id, mixing, packing, simhash
+from brindle.llm import exact_dedup, language_id, mixing, packing, similar
 from brindle.llm.base import new_path, table
 
 #: No source is passed over more often than this, and every source at least once.
@@ -26,8 +26,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that SimHash links, the one with the smallest id stays."""
-    return simhash.drop_near_copies(docs)
+    """Of texts whose 5-word shingles are similar by 0.8 or more, directly or by others, the one with the smallest id stays."""
+    return similar.drop_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SimHash components, temperature bisection and packing are beyond SQL; the tests compare with a brute-force version.
+#: Components of similar texts, temperature bisection and packing are beyond SQL; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -1,5 +1,7 @@
 """The pipeline's stages, each against plain code on its own input."""
 
+import random
+
 import numpy as np
 from test_operators import brute_components, brute_dedup
 
@@ -37,3 +39,27 @@ def test_stages(spark):
     assert max(lengths.values()) <= 2048 and np.mean(list(lengths.values())) > 0.97 * 2048
 
     assert len(corpus_pipeline.run(spark, sf_dir).columns) == 7
+
+
+def test_near_copies_of_a_few_edits_go(spark):
+    """Against all pairs of 5-word shingle sets, at a similarity of 0.8 and above and just below it."""
+    rng = random.Random(3)
+    data = []
+    for k in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        data.append(words)
+        for edits in (1, 3, 4, 5, 6, 8):
+            other = list(words)
+            for at in rng.sample(range(200), edits):
+                other[at] = f"x{rng.randrange(10**6)}"
+            data.append(other)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in data]
+    label = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                high, low = max(label[i], label[j]), min(label[i], label[j])
+                label = [low if x == high else x for x in label]
+    made = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(data)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, made, "").collect()}
+    assert 40 < len(set(label)) < len(data) - 40 and got == set(label)

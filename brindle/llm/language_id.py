@@ -173,6 +173,8 @@ def identify_all(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told, with all their columns: those without a letter go."""
+    """The documents whose language can be told, with all their columns: those without a letter go, and no others if no row has a language."""
     model = train(docs.filter(~held_out()))
+    if not model.languages:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return with_language(docs, model, out="_language").filter(F.col("_language.lang") != UNKNOWN).select(*docs.columns)

@@ -420,3 +420,8 @@ def test_near_copies_without_an_id_or_with_one_id_stay(spark):
     made = spark.createDataFrame(made, "doc_id long, text string")
     want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, None)]
     assert sorted(rows(simhash.drop_near_copies(made)), key=str) == sorted(want, key=str)
+
+
+def test_language_stage_without_labels_keeps_texts(odd):
+    bare = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in language_id.keep_identified(bare).collect()} == {None, 1, 2, 3, 7, 9}

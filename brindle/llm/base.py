@@ -1,4 +1,4 @@
-"""What the operators share: the folder that driver and executors share, cut lineage, and text slices of bounded size."""
+"""What the operators share: the folder that driver and executors share, cut lineage, size-checked broadcasts, text slices of bounded size."""
 
 from __future__ import annotations
 
@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once.
 SLICE_BYTES = 4 << 20
+#: Rows of a slim table (a few dozen bytes each) up to which it is broadcast; beyond, the join shuffles.
+FEW_ROWS = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one of our own only where none is set (local tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one of our own only where none is set and all runs in one process (local tests)."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="brindle-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
@@ -38,6 +42,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, broadcast if it is small. Its rows are counted, so it should be stored already."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that df doesn't have, case ignored."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -104,11 +124,36 @@ def range_buckets(df: DataFrame, key: str, wanted: int) -> list[int]:
     One scan of that column. Bucket i holds cut[i] <= key < cut[i + 1], so the cut is the smallest key of its bucket.
     """
     steps = [i / wanted for i in range(1, wanted)]
-    found = df.agg(F.min(key).alias("low"), F.percentile_approx(key, steps, 10_000).alias("cuts") if steps else F.array().alias("cuts")).first()
+    accuracy = F.lit(max(10_000, 50 * wanted))  # the error in ranks is a fiftieth of a bucket
+    found = df.agg(F.min(key).alias("low"), F.percentile_approx(key, steps, accuracy).alias("cuts") if steps else F.array().alias("cuts")).first()
     return sorted({found.low, *(found.cuts or [])} - {None})
 
 
 def bucket_of(key: str, cuts: list[int]) -> F.Column:
-    """Which bucket of range_buckets() a key falls in."""
+    """Which bucket of range_buckets() a key falls in, found in two steps: among every so many cuts, then among those in between."""
+    step = max(1, round(len(cuts) ** 0.5))
+    below = lambda points: F.size(F.filter(points, lambda c: c <= F.col(key)))
     points = F.array(*[F.lit(c).cast("long") for c in cuts])
-    return F.greatest(F.size(F.filter(points, lambda c: c <= F.col(key))) - 1, F.lit(0))
+    coarse = F.greatest(below(F.array(*[F.lit(c).cast("long") for c in cuts[::step]])) - 1, F.lit(0)) * step
+    return F.greatest(coarse + below(F.slice(points, coarse + 1, F.lit(step))) - 1, F.lit(0))
+
+
+def keep_first(docs: DataFrame, slim: DataFrame, id_col: str, sha: F.Column) -> DataFrame:
+    """The first row of each label of slim (doc_id, sha, label, a row per document), by id and then text, with all columns of docs.
+
+    Null ids go after all others. A row is known by its id and its text, so unrelated rows without an id, or with one id, all stay; of
+    rows that share both, one does. Only the keys of rows that go, or that are there several times, meet the documents again.
+    """
+    keys = slim.groupBy("label", "doc_id", "sha").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")
+    first = keys.groupBy("label").agg(F.min(order).alias("x"), F.sum("n").alias("rows")).filter("rows > 1").select("label", "x")
+    stays = F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("sha") == F.col("x.sha"))
+    marks = cut(keys.join(first, "label").select("doc_id", "sha", "n", stays.alias("stays")).filter("n > 1 or not stays"))
+    own_id, own_sha, mark_id, mark_sha, stay = fresh(docs, "own_id", "own_sha", "mark_id", "mark_sha", "stay")
+    marked = docs.withColumns({own_id: F.col(id_col).cast("long"), own_sha: sha})
+    named = few(marks.select(F.col("doc_id").alias(mark_id), F.col("sha").alias(mark_sha), F.col("stays").alias(stay)))
+    met = marked.join(named, F.col(own_id).eqNullSafe(F.col(mark_id)) & (F.col(own_sha) == F.col(mark_sha)), "left")
+    kept = met.filter(F.col(stay).isNull()).select(*docs.columns)
+    if marks.filter("stays").isEmpty():
+        return kept
+    return kept.unionByName(met.filter(stay).dropDuplicates([own_id, own_sha]).select(*docs.columns))

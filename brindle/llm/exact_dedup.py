@@ -8,12 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import quotient_filter
-from brindle.llm.base import cut, parts
+from brindle.llm.base import cut, few, fresh, parts
 
 #: Fingerprints that a task holds before it emits its filters.
 HELD = 1 << 20
-#: Tasks over which the documents of one fingerprint are dealt before they are summed.
-SALTS = 16
 
 
 def normalised(text: F.Column) -> F.Column:
@@ -63,30 +61,38 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Of equal texts the row with the smallest id stays (a null id counts as the largest; of rows with the same id and text every one
     is marked kept). A null text is an empty text, and empty texts are copies of one another. Empty input gives no rows. Other columns
-    are ignored.
+    are ignored, and texts of any length are taken whole.
+
+    Only texts whose fingerprint is repeated leave their task, each once per task that has it: equal texts are summed before the shuffle.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("body"))
     base = base.withColumn("fingerprint", F.xxhash64("body"))
     slim = cut(base.select("doc_id", "fingerprint", F.sha2("body", 256).alias("text_sha256")))
-    repeated = repeated_fingerprints(slim, "fingerprint", max(16, parts(spark))).select("fingerprint")
-    # Byte verification: documents with a repeated fingerprint meet by fingerprint and salt, then by their whole text.
-    routed = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    candidates = base.withColumn("salt", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(SALTS)).cast("int")).join(routed, ["fingerprint", "salt"], "left_semi")
-    groups = candidates.groupBy("fingerprint", "body").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = groups.select("fingerprint", F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size").filter("group_size > 1")
-    out = slim.join(groups, ["fingerprint", "text_sha256"], "left")
+    repeated = cut(repeated_fingerprints(slim, "fingerprint", max(16, parts(spark))).select("fingerprint"))
+    # Byte verification: documents with a repeated fingerprint meet by their whole text.
+    groups = base.join(few(repeated), "fingerprint", "left_semi").groupBy("fingerprint", "body").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = cut(groups.filter("group_size > 1").select("fingerprint", F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size"))
+    out = slim.join(few(groups), ["fingerprint", "text_sha256"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; of rows that share id and text one stays."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    kept = exact_groups(docs, id_col, text_col).filter("kept")
-    kept = kept.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    marked = docs.withColumns({"_kept_id": key, "_kept_sha": F.sha2(normalised(F.col(text_col)), 256)})
-    return marked.join(kept, ["_kept_id", "_kept_sha"], "left_semi").dropDuplicates(["_kept_id", "_kept_sha"]).select(*docs.columns)
+    """The documents that stay, with all their columns, whatever their names; of rows that share id and text one stays.
+
+    Nulls, blank texts and ties as in exact_groups(). Only one row per group of copies meets the documents again.
+    """
+    kept = exact_groups(docs, id_col, text_col).filter("kept and group_size > 1")
+    kept = cut(kept.groupBy("text_sha256").agg(F.first("keep_id").alias("keep_id"), F.count("*").alias("n")))
+    own_id, own_sha, sha, keep_id, n = fresh(docs, "own_id", "own_sha", "sha", "keep_id", "n")
+    marked = docs.withColumns({own_id: F.col(id_col).cast("long"), own_sha: F.sha2(normalised(F.col(text_col)), 256)})
+    named = few(kept.select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep_id), F.col("n").alias(n)))
+    met = marked.join(named, F.col(own_sha) == F.col(sha), "left").filter(F.col(sha).isNull() | F.col(own_id).eqNullSafe(F.col(keep_id)))
+    if kept.filter("n > 1").isEmpty():
+        return met.select(*docs.columns)
+    several = F.coalesce(F.col(n), F.lit(1)) > 1
+    return met.filter(~several).select(*docs.columns).unionByName(met.filter(several).dropDuplicates([own_sha]).select(*docs.columns))
 
 
 SQL = r"""

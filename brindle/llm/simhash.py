@@ -1,25 +1,28 @@
 """SimHash near-dedup (operator 7): a byte-position inverted index with count filtering finds the fingerprints that link.
 
-Fingerprints of 64 bits that differ in at most 3 bits share at least 5 of their 8 positional bytes, so at least 3 of the bytes in one
-half. The index therefore posts each distinct fingerprint under its 8 triples of positions within a half: every pair that can reach the
-guaranteed 5 matches meets in at least one posting list, and lists stay short because a triple has 2^24 values. In a list the shared
-positional bytes of a pair are tallied, pairs that reach 5 are kept, and their bits are compared.
+Fingerprints of 64 bits that differ in at most 3 bits share at least 5 of their 8 positional bytes. The index posts each distinct
+fingerprint under 14 sets of 4 positions, those whose numbers cancel out under exclusive or: every 5 of the 8 positions hold exactly one
+of these sets, so a pair with 5 bytes in common meets in at least one posting list. A list's key has 32 bits, so that even 10^10
+fingerprints make lists of a few rows. Most pairs of a list share its 4 bytes by chance and no fifth one: their shared positional bytes
+are tallied, pairs that reach the guaranteed 5 are kept (about one in 64 of the chance meetings), and only these have their bits compared.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.base import cut, parts, slices, texts_of
+from brindle.llm.base import cut, keep_first, parts, slices, texts_of
 from brindle.llm.components import components
 
 SEED = 42
 LEAST_BYTES = 5
-TRIPLES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3), (4, 5, 6), (4, 5, 7), (4, 6, 7), (5, 6, 7))
+POSITIONS = tuple(c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0)
 #: Fingerprints of one posting list that meet in one task; a longer list is split into blocks, and each pair of blocks is a cell.
 BLOCK = 8192
 #: Rows of the index that a task holds at once, besides a list that reaches further.
@@ -79,14 +82,21 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "finger
     return docs.withColumn(out, simhash(F.col(text_col)))
 
 
+def shared_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Tally of equal positional bytes, 0 to 8."""
+    marks = x ^ y
+    for step in (4, 2, 1):
+        marks |= marks >> np.uint64(step)
+    return 8 - np.bitwise_count(marks & np.uint64(0x0101010101010101))
+
+
 def _near(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """Which pairs share enough positional bytes and, of those, differ in few enough bits."""
-    differ = x ^ y
-    marks = differ | (differ >> np.uint64(4))
-    marks |= marks >> np.uint64(2)
-    marks |= marks >> np.uint64(1)
-    shared = 8 - np.bitwise_count(marks & np.uint64(0x0101010101010101))
-    return (shared >= LEAST_BYTES) & (np.bitwise_count(differ) <= most)
+    """Which pairs reach the guaranteed number of shared bytes and, verified, differ in few enough bits."""
+    near = shared_bytes(x, y) >= LEAST_BYTES
+    kept = np.flatnonzero(near)
+    if len(kept):
+        near[kept] = np.bitwise_count(x[kept] ^ (y[kept] if np.ndim(y) else y)) <= most
+    return near
 
 
 def _tree(found: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -124,7 +134,7 @@ def links(distinct: DataFrame, column: str = "fingerprint", most: int = 3) -> Da
     if not 0 <= most <= 3:
         raise ValueError("the count filter is guaranteed for 0 to 3 differing bits")
     byte = lambda i: F.shiftrightunsigned(column, 56 - 8 * i).bitwiseAND(F.lit(255))
-    keys = [F.lit(k << 24) + F.shiftleft(byte(x), 16) + F.shiftleft(byte(y), 8) + byte(z) for k, (x, y, z) in enumerate(TRIPLES)]
+    keys = [F.lit(k << 32) + F.shiftleft(byte(w), 24) + F.shiftleft(byte(x), 16) + F.shiftleft(byte(y), 8) + byte(z) for k, (w, x, y, z) in enumerate(POSITIONS)]
     index = distinct.select(F.col(column), F.explode(F.array(*keys)).alias("key"))
     lists = index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     posted = index.join(lists, "key")
@@ -160,7 +170,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest id that links reach, its own included).
 
     A null or blank text has fingerprint zero and links like any other. Equal fingerprints are one node, however many documents have
-    it. Null ids are kept and never the smallest, unless a component has no other. Empty input gives no rows.
+    it. Null ids are kept and never the smallest, unless a component has no other; repeated rows each have a row. Texts of any length
+    are taken whole. Columns of other names play no part. Empty input gives no rows.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     slim = cut(with_fingerprint(base).select("doc_id", "fingerprint"))
@@ -172,26 +183,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return slim.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_components(docs: DataFrame, slim: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first row of each label of slim (doc_id, sha, label, a row per document), by id and text, with all its columns.
-
-    Null ids go after all others. A row is known by its id and its text, so unrelated rows without an id, or with one id, all stay.
-    """
-    first = slim.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("x"))
-    stay = first.select(F.col("x.doc_id").alias("_stay_id"), F.col("x.sha").alias("_stay_sha"))
-    marked = docs.withColumns({"_stay_id": F.col(id_col).cast("long"), "_stay_sha": sha_of(text_col)})
-    same = marked["_stay_id"].eqNullSafe(stay["_stay_id"]) & (marked["_stay_sha"] == stay["_stay_sha"])
-    return marked.join(stay, same, "left_semi").dropDuplicates(["_stay_id", "_stay_sha"]).select(*docs.columns)
-
-
 def sha_of(text_col: str) -> F.Column:
     return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest id, with all its columns."""
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+    """One document of each component: the one with the smallest id, with all its columns, whatever their names.
+
+    Null ids go after all others. Unrelated rows without an id, or with one id, all stay; of rows that share id and text, one does.
+    Null and blank texts are one component. Empty input gives no rows.
+    """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    slim = cut(with_fingerprint(base).select("doc_id", sha_of("text").alias("sha"), "fingerprint"))
+    slim = cut(with_fingerprint(base, size=size).select("doc_id", sha_of("text").alias("sha"), "fingerprint"))
     labels = components(links(slim.select("fingerprint").distinct()))
     labelled = slim.join(labels, F.col("fingerprint") == F.col("node"), "left").select("doc_id", "sha", F.coalesce("label", "fingerprint").alias("label"))
-    return first_of_components(docs, labelled, id_col, text_col)
+    return keep_first(docs, labelled, id_col, sha_of(text_col))

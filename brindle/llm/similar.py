@@ -1,9 +1,10 @@
 """Texts whose 5-word shingles have a Jaccard similarity of at least LEAST, for the near-dedup stage of the pipeline.
 
-The positional index of simhash.py is guaranteed for 3 differing bits; texts of a similarity of 0.8 differ in 9.7 of 64 on average, and
-share about 2 of 8 bytes. So candidates come from MinHash here: 20 bands of 5 values, one of which two texts of similarity 0.8 share
-with a probability of 0.9996. In a band's list each text looks at those that no surely similar text has reached yet, by all 100 values;
-what may be similar is verified by the exact similarity of the shingles' hashes, and only verified pairs link.
+Candidates come from operator 7 (SimHash of the 5-word shingles, positional index, count filter) and, since that index is guaranteed for
+3 differing bits only, from MinHash as well: texts of a similarity of 0.8 differ in 9.7 of 64 bits on average and share about 2 of 8
+bytes. 20 bands of 5 values hold one that two texts of similarity 0.8 share with a probability of 0.9996. In a band's list each text
+looks at those that no surely similar text has reached yet, by all 100 values. Every candidate of either kind is verified by the exact
+similarity of the shingles' hashes, and only verified pairs link.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.base import cut, mix, parts, slices, texts_of
+from brindle.llm.base import cut, keep_first, mix, parts, slices, texts_of
 from brindle.llm.components import components
 from brindle.llm.minhash import shingle_hashes
-from brindle.llm.simhash import BLOCK, first_of_components, sha_of
+from brindle.llm.simhash import BLOCK, fingerprints, links, sha_of
 
 SHINGLE = 5
 LEAST = 0.8
@@ -44,7 +45,7 @@ def signatures(texts: pa.Array, size: int = SHINGLE) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """(node, signature, bands) of (node, text): 16 bits of each value, and a key for each band."""
+    """(node, signature, bands, fingerprint) of (node, text): 16 bits of each value, a key for each band, and the SimHash."""
 
     def sign(batches):
         for batch in batches:
@@ -54,9 +55,10 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                 keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, r::ROWS])
             short = mix(values).astype("<u2")
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in short], pa.binary()), bands], ["node", "signature", "bands"])
+            prints = pa.array(fingerprints(batch.column(1), size))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in short], pa.binary()), bands, prints], ["node", "signature", "bands", "fingerprint"])
 
-    return docs.select("node", "text").mapInArrow(sign, "node long, signature binary, bands array<long>")
+    return docs.select("node", "text").mapInArrow(sign, "node long, signature binary, bands array<long>, fingerprint long")
 
 
 def _tree(nodes: np.ndarray, values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -110,10 +112,19 @@ def candidates(signed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(find, "a long, b long").distinct()
 
 
+def linked_prints(signed: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes of (node, fingerprint) that operator 7 links: each with the least node of its fingerprint, and these by the index."""
+    least = cut(signed.groupBy("fingerprint").agg(F.min("node").alias("least")))
+    same = signed.join(least, "fingerprint").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    x, y = (least.select(F.col("fingerprint").alias(c), F.col("least").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    near = links(least.select("fingerprint")).join(x, "a").join(y, "b")
+    return same.unionByName(near.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
+
+
 def similar_pairs(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """(a, b): candidates of (node, text) whose shingles have at least that Jaccard similarity."""
     signed = cut(_signed(docs, size).dropDuplicates(["node"]))
-    pairs = cut(candidates(signed))
+    pairs = cut(candidates(signed).unionByName(linked_prints(signed)).distinct())
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = cut(docs.select("node", "text").join(met, "node", "left_semi").dropDuplicates(["node"]))
 
@@ -133,8 +144,13 @@ def similar_pairs(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) ->
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """One document of each component of similar texts: the one with the smallest id, with all its columns. Texts without words are alike."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"))
+    """One document of each component of similar texts: the one with the smallest id, with all its columns, whatever their names.
+
+    Null ids go after all others. Unrelated rows without an id, or with one id, all stay; of rows that share id and text, one does. Null
+    texts and texts without words are alike. Texts of any length are taken whole. Empty input gives no rows.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("node"))
     labels = components(similar_pairs(base, size, least)).withColumnRenamed("node", "linked")
     labelled = base.select("doc_id", sha_of("text").alias("sha"), "node").join(labels, F.col("node") == F.col("linked"), "left")
-    return first_of_components(docs, labelled.select("doc_id", "sha", F.coalesce("label", "node").alias("label")), id_col, text_col)
+    return keep_first(docs, labelled.select("doc_id", "sha", F.coalesce("label", "node").alias("label")), id_col, sha_of(text_col))

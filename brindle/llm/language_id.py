@@ -1,7 +1,8 @@
 """Language ID (operator 6): bit-sliced Bloom filters map an n-gram to the bit mask of all languages that contain it.
 
-Training counts the letter n-grams of each labelled language over all training rows. A language contains an n-gram if it is among its
-most frequent ones and not much rarer in it than in the language that has it most. The filters of all languages are one table whose
+Training counts the letter n-grams of each labelled language over all training rows. A language contains an n-gram that makes up at
+least LEAST_SHARE of its n-grams, unless it is much rarer there than in the language that has it most. That bounds what a filter holds
+(1 / LEAST_SHARE n-grams) whatever the size of the corpus, and no ranking is needed. The filters of all languages are one table whose
 slot holds one bit per language (a slice of 64 languages per plane), so that two look-ups and an AND answer for all languages at once.
 A document's n-grams are counted per language by their mask bits; a count's expected false positives, n * rate, are taken off, and the
 language with the largest corrected count decides.
@@ -15,17 +16,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.base import mix, slices, sums, texts_of
+from brindle.llm.base import cut, fresh, mix, slices, sums, texts_of
 
 SIZES = (2, 3, 4)
-#: Most n-grams that a language puts into its filter, and the least share of the largest relative frequency.
-GRAMS = 30_000
+#: Least share of a language's n-grams that puts one into its filter, and the least share of the largest relative frequency.
+LEAST_SHARE = 1e-5
 RELATIVE = 0.2
-#: Slots of the table; 2 slots per n-gram.
+#: Slots of the table; 2 slots per n-gram, so at most a fifth is set for a language.
 SLOTS = 1 << 20
+#: Languages there may be: a plane of 8 MB per 64 is broadcast.
+LANGUAGES = 512
 UNKNOWN = "und"
 #: Bytes of text that a task works on at once: the arrays of a slice are many times as large, and two tasks share an executor.
 SLICE = 1 << 20
@@ -99,23 +102,27 @@ def gram_counts(rows: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", grams: int = GRAMS, relative: float = RELATIVE) -> LanguageModel:
-    """Learn from all rows with a language. At most `grams` numbers per language reach the driver, for the table of SLOTS slots."""
+def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SHARE, relative: float = RELATIVE) -> LanguageModel:
+    """Learn from all rows with a language. At most 1 / least numbers per language reach the driver, one language at a time."""
     counts = gram_counts(rows, text_col, lang_col)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    share = counts.join(totals, "lang").withColumn("share", F.col("n") / F.col("total"))
-    top = share.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("place") <= grams)
-    most = top.groupBy("gram").agg(F.max("share").alias("most"))
-    kept = top.join(most, "gram").filter(F.col("share") >= relative * F.col("most")).groupBy("lang", "total").agg(F.collect_list("gram").alias("grams"))
-    found = sorted((r.lang, r.total, np.array(r.grams, np.int64).view(np.uint64)) for r in kept.collect())
-    planes, fills = np.zeros((max(1, -(-len(found) // 64)), SLOTS), np.uint64), []
-    for k, (_, _, hashes) in enumerate(found):
+    share = counts.join(totals, "lang").withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= least)
+    most = share.groupBy("gram").agg(F.max("share").alias("most"))
+    kept = share.join(most, "gram").filter(F.col("share") >= relative * F.col("most")).groupBy("lang", "total").agg(F.collect_list("gram").alias("grams"))
+    kept = cut(kept)
+    n = kept.count()
+    if n > LANGUAGES:
+        raise ValueError(f"{n} values of {lang_col} are more than the {LANGUAGES} languages that a model may have")
+    languages, sizes, planes, fills = [], [], np.zeros((max(1, -(-n // 64)), SLOTS), np.uint64), []
+    for k, row in enumerate(kept.orderBy("lang").toLocalIterator()):
         bit = np.uint64(1 << (k % 64))
-        for slot in _slots(hashes):
+        for slot in _slots(np.array(row.grams, np.int64).view(np.uint64)):
             planes[k // 64][slot] |= bit
         fills.append(np.count_nonzero(planes[k // 64] & bit) / SLOTS)
-    usual = max(range(len(found)), key=lambda k: (found[k][1], -k)) if found else -1
-    return LanguageModel([x[0] for x in found], planes, np.array(fills) ** 2, usual)
+        languages.append(row.lang)
+        sizes.append(row.total)
+    usual = max(range(n), key=lambda k: (sizes[k], -k)) if n else -1
+    return LanguageModel(languages, planes, np.array(fills) ** 2, usual)
 
 
 def predict(texts: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndarray]:
@@ -165,7 +172,9 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def identify_all(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, by a model that saw no held-out row.
 
-    Null texts and texts without a letter get und and 0; without any labelled row every document does. Empty input gives no rows.
+    Null texts and texts without a letter get und and 0; without any labelled row every document does. Texts of any length count whole.
+    Of languages with equal counts the first by name is taken, and the one with most training text where nothing counts. Repeated rows
+    get the same answer, and train as often as they are there. Other columns play no part. Empty input gives no rows.
     """
     rows = docs.select("doc_id", F.col("text"), F.col("lang"), held_out().alias("held_out"))
     model = train(rows.filter(~F.col("held_out")))
@@ -173,8 +182,12 @@ def identify_all(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told, with all their columns: those without a letter go, and no others if no row has a language."""
+    """The documents whose language can be told, with all their columns, whatever their names: those without a letter go, null texts too.
+
+    No others go, nor if no row has a language. Repeated rows and rows without an id stay as they are. Empty input gives no rows.
+    """
     model = train(docs.filter(~held_out()))
     if not model.languages:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return with_language(docs, model, out="_language").filter(F.col("_language.lang") != UNKNOWN).select(*docs.columns)
+    (found,) = fresh(docs, "found_language")
+    return with_language(docs, model, out=found).filter(F.col(f"{found}.lang") != UNKNOWN).select(*docs.columns)

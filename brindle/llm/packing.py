@@ -3,14 +3,17 @@
 Documents longer than a sequence are cut; their full pieces fill sequences of their own. The shorter pieces are dealt by hash to
 shards of a few thousand, and each shard is packed by several islands that run in different tasks. A chromosome is a grouping: a list
 of bins. Crossover injects whole well-filled bins of one parent into the other, removes the bins that hold a piece twice, and
-best-fits the displaced pieces. After an epoch each island sends its elite to the next one of its shard; the best of a shard's
-islands wins. What is left in poorly filled bins of all shards is packed once more, so that a shard's last bins don't stay half empty.
+best-fits the displaced pieces. After an epoch each island keeps its people and sends its elite to the next one of its shard; the best
+of a shard's islands wins. No island ends before a whole epoch of crossover, whether or not its first packing meets the lower bound, as
+fewer bins are not all there is to win: of packings with equal bins the one with the more uneven fills wins, which leaves its room in few
+bins. What is left in poorly filled bins of all shards is packed once more, so that a shard's last bins don't stay half empty.
 """
 
 from __future__ import annotations
 
 import random
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -115,33 +118,42 @@ def crossover(mother: list[list[int]], father: list[list[int]], lengths: list[in
 def mutate(groups: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """Open the emptiest bins and a few others, and best-fit their pieces again."""
     by_fill = sorted(groups, key=lambda g: sum(lengths[i] for i in g))
-    opened = max(2, len(groups) // 50)
+    opened = min(len(groups), max(2, len(groups) // 50))
     some = set(range(opened)) | {rng.randrange(len(groups)) for _ in range(opened)}
     return _rebuild([g for j, g in enumerate(by_fill) if j not in some], [i for j in some for i in by_fill[j]], lengths, capacity)
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, start: list[list[list[int]]] = (), generations: int = GENERATIONS) -> list[list[int]]:
-    """The best grouping that one island finds from its start population; ends as soon as the lower bound is reached."""
-    if not lengths:
-        return []
-    rng, least = random.Random(seed), least_bins(lengths, capacity)
+@dataclass
+class Epoch:
+    """people: groupings, the best first; crossovers: children that crossover made; met: whether the best reaches the lower bound."""
+
+    people: list[list[list[int]]]
+    crossovers: int
+    met: bool
+
+
+def first_people(lengths: list[int], capacity: int, rng: random.Random, size: int = POPULATION) -> list[list[list[int]]]:
+    """Best fit by falling length, and by lengths that are off by up to a fifth."""
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    people = [*start]
-    while len(people) < POPULATION:
-        noisy = order if not people else sorted(order, key=lambda i: -lengths[i] * rng.uniform(0.8, 1.0))
-        people.append(first_packing(noisy, lengths, capacity))
-        if len(people[-1]) == least:
-            return people[-1]
-    ranked = sorted(((_rank(p, lengths, capacity), k, p) for k, p in enumerate(people)), key=lambda x: x[:2])
+    noisy = lambda: sorted(order, key=lambda i: -lengths[i] * rng.uniform(0.8, 1.0))
+    return [first_packing(noisy() if k else order, lengths, capacity) for k in range(size)]
+
+
+def evolve(lengths: list[int], capacity: int, seed: int, start: list[list[list[int]]] = (), generations: int = GENERATIONS) -> Epoch:
+    """One epoch of one island. Each generation crosses two parents both ways and opens bins of the best; the worst of all leave."""
+    rng = random.Random(seed)
+    if len(lengths) < 2:
+        return Epoch([[[0]]] if lengths else [[]], 0, True)
+    people = [*start, *first_people(lengths, capacity, rng, max(0, POPULATION - len(start)))]
+    ranked, crossovers = sorted(((_rank(p, lengths, capacity), k, p) for k, p in enumerate(people)), key=lambda x: x[:2]), 0
     for g in range(generations):
-        a, b = rng.sample(range(len(ranked)), 2)
-        mother, father = ranked[min(a, b)][2], ranked[max(a, b)][2]
-        for child in (crossover(father, mother, lengths, capacity, rng), mutate(ranked[0][2], lengths, capacity, rng)):
-            ranked.append((_rank(child, lengths, capacity), len(people) + g, child))
+        a, b = sorted(rng.sample(range(len(ranked)), 2))
+        better, worse = ranked[a][2], ranked[b][2]
+        children = [crossover(worse, better, lengths, capacity, rng), crossover(better, worse, lengths, capacity, rng), mutate(ranked[0][2], lengths, capacity, rng)]
+        crossovers += 2
+        ranked += [(_rank(child, lengths, capacity), len(people) + 3 * g + k, child) for k, child in enumerate(children)]
         ranked = sorted(ranked, key=lambda x: x[:2])[:POPULATION]
-        if ranked[0][0][0] == least:
-            break
-    return ranked[0][2]
+    return Epoch([p for *_, p in ranked], crossovers, ranked[0][0][0] == least_bins(lengths, capacity))
 
 
 # --- shards and islands ------------------------------------------------------
@@ -160,8 +172,15 @@ def _groups(data: bytes) -> list[list[int]]:
     return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(of[order])) + 1)] if len(of) else []
 
 
-def pack_lengths(items: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD, seed: int = 7) -> DataFrame:
-    """items (item long, unique; length, 1 to capacity) to (item, length, shard, bin, fill, offset): a bin of a shard, its fill, the item's place in it."""
+ISLAND = "shard int, island int, people array<binary>, bins int, fitness double, items int, first_bins int, least int, crossovers int"
+
+
+def islands(items: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD, seed: int = 7, epochs: int = EPOCHS, generations: int = GENERATIONS) -> tuple[DataFrame, DataFrame]:
+    """Tables of the shards (shard, items, lengths) and of their islands after the last epoch.
+
+    An island has its people, the best first, and tells how it came there: bins, fitness, the number of pieces, first_bins (of the best
+    packing it began with), least (no packing has fewer) and crossovers.
+    """
     spark = items.sparkSession
     shards = max(1, round(items.count() / shard_items))
     dealt = items.select(F.col("item").cast("long").alias("item"), F.col("length").cast("int").alias("length"), F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(shards)).cast("int").alias("shard"))
@@ -175,22 +194,41 @@ def pack_lengths(items: DataFrame, capacity: int = CAPACITY, shard_items: int =
 
     def island(batches):
         for batch in batches:
-            for shard, number, lengths, own, come in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for shard, number, lengths, own, come, first, done in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 sizes = np.frombuffer(lengths, "<u4").tolist()
-                start = [_groups(x) for x in (own, come) if x is not None]
-                best = evolve(sizes, capacity, hash((shard, number, len(start))), start)
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([_coded(best, len(sizes))]), pa.array([len(best)], pa.int32()), pa.array([fitness(best, sizes, capacity)])], ["shard", "island", "elite", "bins", "fitness"])
-
-    schema = "shard int, island int, elite binary, bins int, fitness double"
-    islands = tables.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths")
+                start = [_groups(x) for x in [*(own or []), *([come] if come is not None else [])]]
+                epoch = evolve(sizes, capacity, hash((shard, number, done)), start, generations)
+                best = epoch.people[0]
+                if first is None:
+                    first = len(first_packing(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes, capacity))
+                figures = (len(best), fitness(best, sizes, capacity), len(sizes), first, least_bins(sizes, capacity), done + epoch.crossovers)
+                columns = [[shard], [number], [[_coded(p, len(sizes)) for p in epoch.people]], *([x] for x in figures)]
+                kinds = (pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.int32(), pa.float64(), *[pa.int32()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in ISLAND.split(", ")])
+
+    all_islands = tables.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths")
     n_tasks = max(1, min(shards * ISLANDS, 4 * spark.sparkContext.defaultParallelism + shards // 8))
-    none = F.lit(None).cast("binary")
-    elites = cut(islands.select("*", none.alias("own"), none.alias("come")).repartition(n_tasks, "shard", "island").mapInArrow(island, schema))
-    for _ in range(EPOCHS - 1):
-        moved = elites.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("elite").alias("come"))
-        meeting = islands.join(elites.select("shard", "island", F.col("elite").alias("own")), ["shard", "island"]).join(moved, ["shard", "island"])
-        elites = cut(meeting.select("shard", "island", "lengths", "own", "come").repartition(n_tasks, "shard", "island").mapInArrow(island, schema))
-    best = elites.groupBy("shard").agg(F.min_by("elite", F.struct("bins", -F.col("fitness"), "island")).alias("elite"))
+    run = lambda df: cut(df.select("shard", "island", "lengths", "own", "come", "first", "done").repartition(n_tasks, "shard", "island").mapInArrow(island, ISLAND))
+    none = {"own": F.lit(None).cast("array<binary>"), "come": F.lit(None).cast("binary"), "first": F.lit(None).cast("int"), "done": F.lit(0)}
+    found = run(all_islands.withColumns(none))
+    for _ in range(epochs - 1):
+        moved = found.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.get("people", F.lit(0)).alias("come"))
+        own = found.select("shard", "island", F.col("people").alias("own"), F.col("first_bins").alias("first"), F.col("crossovers").alias("done"))
+        found = run(all_islands.join(own, ["shard", "island"]).join(moved, ["shard", "island"]))
+    return tables, found
+
+
+def report(found: DataFrame) -> DataFrame:
+    """(shard, pieces, first_bins, bins, least, met, crossovers) of the best island of each shard; crossovers of all of them."""
+    best = F.min_by(F.struct("bins", "items", "first_bins", "least"), F.struct("bins", -F.col("fitness"), "island"))
+    by_shard = found.groupBy("shard").agg(best.alias("x"), F.sum("crossovers").alias("crossovers"))
+    return by_shard.select("shard", F.col("x.items").alias("pieces"), "x.first_bins", "x.bins", "x.least", (F.col("x.bins") == F.col("x.least")).alias("met"), "crossovers")
+
+
+def pack_lengths(items: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD, seed: int = 7) -> DataFrame:
+    """items (item long, unique; length, 1 to capacity) to (item, length, shard, bin, fill, offset): a bin of a shard, its fill, the item's place in it."""
+    tables, found = islands(items, capacity, shard_items, seed)
+    best = found.groupBy("shard").agg(F.min_by(F.get("people", F.lit(0)), F.struct("bins", -F.col("fitness"), "island")).alias("elite"))
 
     def place(batches):
         for batch in batches:
@@ -237,7 +275,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every document is packed whole (a null text is the end id alone), repeated rows as often as they occur, and null ids like others.
-    Empty input gives no rows.
+    Very long texts are cut into as many pieces as they need. Pieces of equal length take their places by number. Other columns play no
+    part. Empty input gives no rows.
     """
     found = cut(pieces(docs, capacity, tokenizer, id_col, text_col).withColumn("item", F.monotonically_increasing_id()))
     packed = cut(pack_lengths(found.filter(F.col("length") < capacity).select("item", "length"), capacity))

@@ -2,12 +2,11 @@
 
 Both models are smoothed variable-order Markov models of the URL's characters. They interpolate contexts of every length up to ORDER - 1
 (Witten-Bell: a context with n observations of t different next characters trusts itself n / (n + t)), so a context that was never seen
-falls back on the shorter one. A URL's score is the mean over its characters of log P(accepted) - log P(rejected). The threshold is
-calibrated on labelled URLs that the models did not see: of all cuts of a histogram of their scores, the one with the largest sum of
-the accepted URLs' and rejected URLs' shares on the right sides.
-
-Everything is DataFrame work. Characters are folded into SYMBOLS, so a model has at most sum(BASE^k) rows, k to ORDER, whatever the
-number of URLs: that is the proven bound of what is broadcast.
+falls back on the shorter one. A string of k characters is part of the models if it makes up at least LEAST_SHARE of all strings of
+k characters: the order varies with what there is to learn from, and a model has at most 1 / LEAST_SHARE rows per order, whatever the
+number of URLs. That is the proven bound of what is broadcast. A URL's score is the mean over its characters of log P(accepted) -
+log P(rejected). The threshold is calibrated on labelled URLs that the models did not see: of all cuts of a histogram of their scores,
+the one with the largest sum of the accepted URLs' and rejected URLs' shares on the right sides.
 """
 
 from __future__ import annotations
@@ -17,10 +16,11 @@ from pyspark.sql import functions as F
 
 from brindle.llm.base import cut, parts
 
-#: Letters, digits and marks that are told apart; code 0 is the start, the code after the last is any other character.
-SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789./-_"
+#: Printable characters that are told apart; code 0 is the start, the code after the last is any other character.
+SYMBOLS = "".join(c for c in map(chr, range(33, 127)) if not "A" <= c <= "Z")
 BASE = len(SYMBOLS) + 2
 ORDER = 4
+LEAST_SHARE = 2.0**-18
 #: One URL in so many is kept from training and calibrates.
 FOLDS = 5
 #: Histogram of scores: cuts per nat.
@@ -47,18 +47,24 @@ def best_rule(host: F.Column, path: F.Column, rules: list[tuple[str, str]]) -> t
 
 
 def _codes(urls: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per character: gram1 to gramORDER, the codes of the last k characters up to it, each tagged by its length."""
-    line = F.lower(F.col("url"))
-    at = urls.select(*keep, line.alias("_line"), F.explode(F.sequence(F.lit(1), F.length(line))).alias("_at"))
+    """One row per character: gram1 to gramORDER, the codes of the last k characters up to it, each tagged by its length, and their contexts.
+
+    The codes of a URL's characters are made once, so the work grows with its length, however long it is.
+    """
+    symbol = lambda c: F.when(F.instr(F.lit(SYMBOLS), c) == 0, F.lit(BASE - 1)).otherwise(F.instr(F.lit(SYMBOLS), c)).cast("long")
+    codes = urls.select(*keep, F.transform(F.split(F.lower("url"), ""), symbol).alias("codes"))
 
-    def code(back: int):
-        char = F.substring("_line", F.col("_at") - back, F.lit(1))
-        found = F.instr(F.lit(SYMBOLS), char)
-        return F.when(F.col("_at") > back, F.when(found == 0, F.lit(BASE - 1)).otherwise(found)).otherwise(F.lit(0))
+    def grams(i):
+        back = [F.when(i >= k, F.get("codes", i - k)).otherwise(F.lit(0)) for k in range(ORDER)]
+        value = lambda size, skip: sum((back[k + skip] * F.lit(BASE**k).cast("long") for k in range(size)), F.lit(BASE**size).cast("long"))
+        return F.struct(*[value(size, 0).alias(f"gram{size}") for size in range(1, ORDER + 1)], *[value(size, 1).alias(f"context{size}") for size in range(1, ORDER)])
 
-    chars = at.select(*keep, *[code(k).alias(f"_c{k}") for k in range(ORDER)])
-    value = lambda size, skip: sum((F.col(f"_c{k + skip}").cast("long") * BASE**k for k in range(size)), F.lit(BASE**size).cast("long"))
-    return chars.select(*keep, *[value(size, 0).alias(f"gram{size}") for size in range(1, ORDER + 1)], *[value(size, 1).alias(f"context{size}") for size in range(1, ORDER)])
+    places = F.sequence(F.lit(0), F.size("codes") - 1)
+    return codes.filter(F.size("codes") > 0).select(*keep, F.inline(F.transform(places, grams)))
+
+
+def _size(k: int) -> F.Column:
+    return F.col("gram").between(BASE**k, 2 * BASE**k - 1)
 
 
 def train(labelled: DataFrame) -> DataFrame:
@@ -66,14 +72,16 @@ def train(labelled: DataFrame) -> DataFrame:
 
     gram is a string of up to ORDER characters (its code is tagged by the length, so all orders share one column). ratio: log P of its
     last character after the others, accepted less rejected; fallback: as a context, the log of the weight it leaves to the shorter one.
+    Of a string that is kept, its end and its context are kept too, as both are at least as frequent.
     """
     distinct = labelled.filter("url <> ''").select("url", "accepted").distinct()
     grams = _codes(distinct, ["accepted"]).select("accepted", F.explode(F.array(*[F.col(f"gram{k}") for k in range(1, ORDER + 1)])).alias("gram"))
     counted = cut(grams.groupBy("gram").agg(F.count_if("accepted").alias("n1"), F.count_if(~F.col("accepted")).alias("n0")))
-    size = lambda k: F.col("gram").between(BASE**k, 2 * BASE**k - 1)
+    every = counted.filter(_size(1)).agg(F.sum(F.col("n1") + F.col("n0"))).first()[0] or 0
+    counted = counted.filter(F.col("n1") + F.col("n0") >= LEAST_SHARE * every)
     model = None
     for k in range(1, ORDER + 1):
-        here = counted.filter(size(k))
+        here = counted.filter(_size(k))
         body = F.col("gram") - BASE**k
         # The context drops the last character (the lowest digit), the shorter gram drops the first (the highest).
         here = here.select("gram", "n1", "n0", (F.floor(body / BASE) + BASE ** (k - 1)).cast("long").alias("context"), (F.pmod(body, F.lit(BASE ** (k - 1))) + BASE ** (k - 1)).cast("long").alias("shorter"))
@@ -96,11 +104,12 @@ def train(labelled: DataFrame) -> DataFrame:
 def score(urls: DataFrame, model: DataFrame, key: str) -> DataFrame:
     """(key, score): the mean log ratio of a URL's characters. Rows of a URL stay in one task, so their sum is all that is shuffled."""
     rows = _codes(urls.filter("url <> ''").select(key, "url"), [key])
-    small = F.broadcast(model)  # at most sum(BASE^k) rows
-    for k in range(1, ORDER + 1):
-        rows = rows.join(small.select(F.col("gram").alias(f"gram{k}"), F.col("ratio").alias(f"ratio{k}")), f"gram{k}", "left")
+    for k in range(1, ORDER + 1):  # at most 1 / LEAST_SHARE rows each
+        known = model.filter(_size(k) & F.col("ratio").isNotNull()).select(F.col("gram").alias(f"gram{k}"), F.col("ratio").alias(f"ratio{k}"))
+        rows = rows.join(F.broadcast(known), f"gram{k}", "left")
     for k in range(1, ORDER):
-        rows = rows.join(small.select(F.col("gram").alias(f"context{k}"), F.col("fallback").alias(f"fallback{k}")), f"context{k}", "left")
+        contexts = model.filter(_size(k) & (F.col("fallback") != 0)).select(F.col("gram").alias(f"context{k}"), F.col("fallback").alias(f"fallback{k}"))
+        rows = rows.join(F.broadcast(contexts), f"context{k}", "left")
     found = F.lit(0.0)
     for k in range(1, ORDER + 1):  # a longer gram that is known says it all; else its context's fallback is added to the shorter one's
         left = F.coalesce(F.col(f"fallback{k - 1}"), F.lit(0.0)) if k > 1 else F.lit(0.0)
@@ -122,7 +131,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id")
 
     The URLs that rules accept and reject train and calibrate the models; the verdict of the others is allow if their score reaches the
     threshold. A null or empty URL has score 0, as nothing speaks for or against it. Pages are judged row by row, so repeated rows get
-    the same answer; a repeated URL trains once. Empty input gives no rows.
+    the same answer; a repeated URL trains once. A very long URL takes time in proportion to its length. Of rules of equal length the
+    later one by name wins. Other columns play no part. Empty input gives no rows.
     """
     host, path = host_and_path(F.col("url"))
     base = pages.select(F.col(key), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
@@ -132,10 +142,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id")
     labelled = ruled.filter("ruled is not null").select("url", (F.col("ruled") == "allow").alias("accepted"))
     model = train(labelled.filter(~held))
     # Scoring makes a row per character, so the few bytes of the URLs are spread over all tasks.
-    urls = ruled.select("url").distinct().repartition(parts(pages.sparkSession))
+    urls = ruled.filter("url <> ''").select("url").distinct().repartition(parts(pages.sparkSession))
     scores = cut(score(urls.withColumn("same", F.col("url")), model, "same"))
     seen = labelled.filter(held).distinct().join(scores, F.col("url") == F.col("same"))
     limit = threshold(seen.select("score", "accepted"))
-    out = ruled.join(scores, F.col("url") == F.col("same"), "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     own = F.when(F.col("score") >= limit, F.lit("allow")).otherwise(F.lit("block"))
-    return out.select(key, "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score", F.lit(limit).alias("threshold"))
+    columns = (F.col(key), F.col("host"), F.col("path"), F.col("rule"), F.coalesce("ruled", own).alias("verdict"), F.col("score"), F.lit(limit).alias("threshold"))
+    # Pages without a URL may be many, and need no score from the table.
+    scored = ruled.filter("url <> ''").join(scores, F.col("url") == F.col("same"))
+    return scored.select(*columns).unionByName(ruled.filter("url = ''").withColumn("score", F.lit(0.0)).select(*columns))

@@ -59,7 +59,16 @@ class Reader:
         position = byte * 8 + int(np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))[left])
         return ((position - i) << self.low) | int(self._low(np.array([i]))[0])
 
+    def range(self, first: int, stop: int) -> np.ndarray:
+        """The values first to stop - 1: one select, then the set bits that follow."""
+        if first >= stop:
+            return np.zeros(0, np.int64)
+        at = (self.select(first) >> self.low) + first
+        end = ((self.select(stop - 1) >> self.low) + stop - 1) + 1
+        bits = np.unpackbits(self.high[at >> 3 : (end + 7) >> 3], bitorder="little")[at & 7 : (at & 7) + end - at]
+        i = np.arange(first, stop)
+        return ((np.flatnonzero(bits) + at - i) << self.low) | self._low(i)
+
     def all(self) -> np.ndarray:
-        """Every value, by one pass over the set bits."""
-        i = np.arange(self.n)
-        return ((np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - i) << self.low) | self._low(i)
+        """Every value."""
+        return self.range(0, self.n)

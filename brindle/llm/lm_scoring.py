@@ -132,7 +132,8 @@ def score_all(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_tokens, target_loss, background_loss, score.
 
     Target documents are those labelled quality 1; without any, both models are what the smoothing gives. A null or blank text has no
-    tokens, losses and score 0. A document labelled twice counts once. Empty input gives no rows.
+    tokens, losses and score 0. A document labelled twice counts once; repeated rows count and are scored as often as they are there.
+    Texts of any length count whole. Other columns play no part. Empty input gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").bitwiseAND(F.lit(1)).cast("int").alias("fold"))
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("good")).distinct()

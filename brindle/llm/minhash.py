@@ -26,6 +26,8 @@ SHINGLE = 5
 #: Steps of the random walks that are tabled; a walk that finds nothing by then goes on to the next filled bin.
 WALK = 8 * BINS
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Scripts that are written without spaces (South-East Asian ones, kana, ideographs): each of their characters counts as a word.
+UNSPACED = "([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0002FA1F])"
 
 
 @functools.cache
@@ -37,6 +39,8 @@ def _walk() -> np.ndarray:
 
 def shingle_hashes(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word shingles of all texts, and their number by text; a text of fewer words has one shingle, without words none."""
+    if pc.any(pc.match_substring_regex(texts, UNSPACED)).as_py():
+        texts = pc.replace_substring_regex(texts, UNSPACED, r" \1 ")
     every, n_words = split_words(pc.utf8_lower(texts))
     coded = every.dictionary_encode()
     words = coded.dictionary.cast(pa.large_binary()).to_pylist()
@@ -110,8 +114,8 @@ def fingerprint_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document follows in ascending order of (doc_id, text); null ids come first, a null text is empty, the last document's next
-    is the first. Texts are dealt once, by ranges of the id; the first row of each range is dealt to the range before it too. Empty
-    input gives no rows.
+    is the first. Texts are dealt once, by ranges of the id; the first row of each range is dealt to the range before it too. Repeated
+    rows follow one another. Texts of any length count whole. Other columns play no part. Empty input gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

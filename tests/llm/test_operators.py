@@ -5,6 +5,8 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from brindle.llm import elias_fano, exact_dedup, language_id, license_scan, lm_scoring, minhash, mixing, packing, quotient_filter, simhash, token_files, tokens, url_filter
+from brindle.llm import elias_fano, exact_dedup, language_id, license_scan, lm_scoring, minhash, mixing, packing, quotient_filter, simhash, similar, token_files, tokens, url_filter
 from brindle.llm.components import components
 
 LONG = "the long text of one word after another " * 4000
@@ -151,6 +153,23 @@ def test_simhash_links_in_large_lists(spark, monkeypatch):
     assert len(set(zip(mine, label, strict=True))) == len(set(mine)) == len(set(label)) < len(prints)
 
 
+def test_positional_index_and_count_filter():
+    """Every 5 of 8 positions hold one posting set, so pairs of 3 bits meet; the count filter leaves few of those that meet by chance."""
+    assert len(simhash.POSITIONS) == 14
+    assert all(sum(set(p) <= set(five) for p in simhash.POSITIONS) == 1 for five in combinations(range(8), 5))
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    y = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    kept = np.uint64(0xFFFFFFFF00000000)  # a pair that shares 4 bytes by chance
+    met = simhash.shared_bytes(x, (x & kept) | (y & ~kept))
+    assert 0.008 < (met >= simhash.LEAST_BYTES).mean() < 0.025
+    near = x.copy()
+    for _ in range(3):
+        near ^= np.uint64(1) << rng.integers(0, 64, len(x), dtype=np.uint64)
+    assert (simhash.shared_bytes(x, near) >= simhash.LEAST_BYTES).all() and simhash._near(x, near, 3).all()
+    assert (simhash._near(x, y, 3) == (np.bitwise_count(x ^ y) <= 3)).all()
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(300, 301), (301, 300), (5, 5), (None, 1)], "a long, b long")
     got = {r.node: r.label for r in components(edges).collect()}
@@ -179,6 +198,7 @@ def test_elias_fano():
         data = elias_fano.encode(values)
         reader = elias_fano.Reader(data)
         assert (reader.all() == values).all()
+        assert all((reader.range(a, b) == values[a:b]).all() for a, b in ((0, n // 2), (n // 3, n), (n // 2, n // 2), (max(0, n - 1), n)))
         assert all(reader.select(i) == values[i] for i in range(0, n, max(1, n // 97)))
         assert len(data) < 40 + n * (3 + max(0, math.log2(top / max(n, 1) + 1))) / 8 + 4 * (n // 512 + 1)
 
@@ -223,17 +243,41 @@ def test_packing(spark, odd, none, docs):
         assert len(places) <= max(-(-total // 2048) + 1, packing.least_bins([r.length for r in found], 2048) + 1)
 
 
-def test_genetic_packing_beats_its_start():
-    rng = random.Random(2)
-    lengths = [rng.randrange(200, 900) for _ in range(300)]
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    first = packing.first_packing(order, lengths, 2048)
-    best = packing.evolve(lengths, 2048, 1, generations=30)
-    assert sorted(i for g in best for i in g) == list(range(len(lengths)))
-    assert packing.least_bins(lengths, 2048) <= len(best) <= len(first)
-    child = packing.crossover(first, best, lengths, 2048, rng)
-    assert sorted(i for g in child for i in g) == list(range(len(lengths)))
+def test_genetic_packing_beats_best_fit():
+    """Where best fit by falling length misses the lower bound, crossover finds fewer bins than any packing it began with."""
+    better = 0
+    for seed, low, high, n in ((2, 300, 900, 300), (2, 400, 1100, 200), (2, 500, 1023, 150), (2, 600, 1000, 400)):
+        rng = random.Random(seed)
+        lengths = [rng.randrange(low, high) for _ in range(n)]
+        first = packing.first_people(lengths, 2048, random.Random(1))
+        found = packing.evolve(lengths, 2048, 1)
+        best = found.people[0]
+        assert sorted(i for g in best for i in g) == list(range(n)) and max(sum(lengths[i] for i in g) for g in best) <= 2048
+        least = packing.least_bins(lengths, 2048)
+        assert least < len(first[0]) and least <= len(best) < len(first[0]) and found.crossovers == 2 * packing.GENERATIONS
+        better += len(best) < min(map(len, first))
+        child = packing.crossover(first[0], best, lengths, 2048, rng)
+        assert sorted(i for g in child for i in g) == list(range(n))
+    assert better >= 2, "crossover, not the noise of the first people, makes the difference"
     assert packing.least_bins([1500, 1500, 500, 300], 2048) == 2 and packing.least_bins([1500, 1500, 700, 300], 2048) == 3
+    assert packing.evolve([], 2048, 1).people == [[]] and packing.evolve([7], 2048, 1).people == [[[0]]]
+
+
+def test_islands_cross_and_migrate(spark):
+    rng = random.Random(9)
+    items = spark.createDataFrame([(i, rng.randrange(600, 1000)) for i in range(400)], "item long, length int")
+    _, once = packing.islands(items, 2048, epochs=1)
+    _, twice = packing.islands(items, 2048, epochs=2)
+    (one,), (two,) = packing.report(once).collect(), packing.report(twice).collect()
+    assert one.crossovers == 2 * packing.GENERATIONS * packing.ISLANDS and two.crossovers == 2 * one.crossovers
+    assert two.least <= two.bins <= one.bins < one.first_bins == two.first_bins and two.met == (two.bins == two.least)
+    fills = {}
+    for r in packing.pack_lengths(items, 2048).collect():
+        fills.setdefault((r.shard, r.bin), []).append((r.offset, r.length, r.fill))
+    assert len(fills) == two.bins
+    for own in fills.values():
+        own.sort()
+        assert sum(n for _, n, _ in own) == own[0][2] <= 2048 and [o for o, *_ in own] == [sum(n for _, n, _ in own[:k]) for k in range(len(own))]
 
 
 # --- fingerprints, language, mixing ------------------------------------------
@@ -276,6 +320,92 @@ def test_language(spark, odd, none, docs):
     assert kept == {None, 1, 2, 3, 7, 9}
 
 
+def brute_grams(text):
+    out = []
+    for word in text.split():
+        letters = "".join(c if c.isalpha() else " " for c in word.lower())
+        for run in letters.split():
+            line = f" {run} "
+            for size in (2, 3):
+                out += [line[i : i + size] for i in range(len(run))]
+            out += [line[i : i + 4] for i in range(len(run) - 1)]
+    return out
+
+
+def test_language_masks_equal_plain_sets(spark):
+    """Filters against plain sets of n-grams: which language has which, how often a document's are in them, the rates, and the answer."""
+    rng = random.Random(7)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnop"}
+    data = [(i, " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randrange(2, 7))) for _ in range(40)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 25)]
+    model = language_id.train(spark.createDataFrame(data, "doc_id long, text string, lang string"), least=1e-4)
+    counts = {lang: Counter(g for _, t, x in data if x == lang for g in brute_grams(t)) for lang in letters}
+    share = {lang: {g: n / c.total() for g, n in c.items() if n / c.total() >= 1e-4} for lang, c in counts.items()}
+    most = {g: max(s.get(g, 0) for s in share.values()) for s in share.values() for g in s}
+    sets = {lang: {g for g, x in s.items() if x >= 0.2 * most[g]} for lang, s in share.items()}
+    assert model.languages == sorted(sets) and model.planes.shape == (1, language_id.SLOTS)
+    for k, lang in enumerate(model.languages):
+        filled = np.count_nonzero(model.planes[0] & np.uint64(1 << k))
+        assert 0.99 * 2 * len(sets[lang]) <= filled <= 2 * len(sets[lang]) and math.isclose(model.rates[k], (filled / language_id.SLOTS) ** 2)
+    test = [" ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randrange(2, 7))) for _ in range(20)) for lang in ["aa", "bb", "cc"] * 10] + ["zzz", "12", ""]
+    names, scores = language_id.predict(pa.array(test), model)
+    for text, name, score in zip(test, names, scores, strict=True):
+        own = brute_grams(text)
+        hits = [sum(g in sets[lang] for g in own) for lang in model.languages]
+        if not own:
+            assert (name, score) == ("und", 0.0)
+        elif sum(hits):
+            assert name == model.languages[int(np.argmax(hits))] and math.isclose(score, max(hits) / sum(hits), rel_tol=0.02)
+
+
+def brute_draws(slim, mix, seed=17):
+    """How often each (source, key) is drawn: passes over whole blocks, then blocks in their order, then documents in theirs."""
+    spark, drawn = slim.sparkSession, Counter()
+    place = {(r.source, r.key): r.block for r in mixing.placed(slim, mix).collect()}
+    data = [tuple(r) for r in slim.select("source", "key", "tokens").collect()]
+    for w in mix.weights.collect():
+        own = [(k, n) for s, k, n in data if s == w.source]
+        total, blocks = sum(n for _, n in own), {}
+        for k, n in own:
+            blocks.setdefault(place[w.source, k], []).append((k, n))
+        passes = w.quota // total if total else 0
+        for k, _ in own if w.quota else []:
+            drawn[w.source, k] += passes
+        orders = spark.createDataFrame([(w.source, b, passes) for b in blocks], "source string, block long, epoch int")
+        turns = {r.block: r.x for r in orders.withColumn("x", F.xxhash64("source", "block", "epoch", F.lit(seed + 2))).collect()}
+        left = w.quota - passes * total
+        for b in sorted(blocks, key=lambda b: (turns[b], b)):
+            size = sum(n for _, n in blocks[b])
+            if size <= left:
+                took = [k for k, _ in blocks[b]]
+            elif left > 0:
+                keys = spark.createDataFrame([(k, passes) for k, _ in blocks[b]], "key long, epoch int")
+                turn = {r.key: r.x for r in keys.withColumn("x", F.xxhash64("key", "epoch", F.lit(seed + 1))).collect()}
+                took, sofar = [], 0
+                for k, n in sorted(blocks[b], key=lambda x: turn[x[0]]):
+                    sofar += n
+                    took += [k] if sofar <= left else []
+            else:
+                took = []
+            for k in took:
+                drawn[w.source, k] += 1
+            left -= size
+    return +drawn
+
+
+def test_mixing_draws_equal_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 4)
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 300)
+    slim = mixing.slim_rows(docs).cache()
+    for limit in (1.2, 2.5):
+        mix = mixing.mixture(slim, repetition_limit=limit)
+        assert {r.blocks for r in mix.weights.collect()} != {4}, "large sources have more blocks"
+        want = brute_draws(slim, mix)
+        got = Counter((r.source, r.doc_id) for r in mixing.mix_all(docs, repetition_limit=limit).collect())
+        ids = {(r.source, r.key): r.doc_id for r in slim.collect()}
+        assert got == Counter({(s, ids[s, k]): n for (s, k), n in want.items()})
+        assert Counter(r.doc_id for r in mixing.resample(docs, repetition_limit=limit).collect()) == Counter({i: n for (_, i), n in got.items()})
+
+
 def test_mixing(spark, odd, none, docs):
     assert rows(mixing.mix_all(none)) == [] and rows(mixing.resample(none)) == []
     assert mixing.mix_all(odd).count() >= 8
@@ -317,6 +447,60 @@ def test_urls(spark):
     assert rows(url_filter.judge(pages.limit(0), URL_RULES)) == []
 
 
+def test_url_verdicts_equal_brute_force(spark):
+    """Scores, threshold and verdicts of the whole operator against plain code that follows its description."""
+    rng = random.Random(12)
+    rules = [("allow", "good.org/"), ("block", "bad.com/")]
+    words = {"good.org": ["guide", "paper", "docs?id=", "learn&x"], "bad.com": ["casino", "win%20big", "spam=1", "xxx"], "new.net": ["guide", "casino", "docs?id=", "spam=1"]}
+    urls = [f"http://{h}/{rng.choice(words[h])}/{rng.choice(words[h])}{rng.randrange(30)}" for h in words for _ in range(80)] + ["http://new.net/é" + "a" * 3000]
+    pages = spark.createDataFrame([*enumerate(urls), (-1, None), (-2, "")], "page_id long, url string")
+    base, order, code = url_filter.BASE, url_filter.ORDER, lambda c: url_filter.SYMBOLS.find(c.lower()) + 1 or url_filter.BASE - 1
+    held = {r.url: r.x for r in pages.select("url", (F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(5)) == 0).alias("x")).collect()}
+    seen = {True: {}, False: {}}
+    kind = lambda u: True if "//good.org" in u else False if "//bad.com" in u else None
+    for u in {u for u in urls if kind(u) is not None and not held[u]}:
+        line = [0] * order + [code(c) for c in u]
+        for i in range(order, len(line)):
+            for k in range(order):
+                own = seen[kind(u)].setdefault(tuple(line[i - k : i]), Counter())
+                own[line[i]] += 1
+    known = {(c, x) for m in seen.values() for c, own in m.items() for x in own}
+
+    def prob(model, context, x):
+        lower = prob(model, context[1:], x) if context else 1.0 / base
+        own = seen[model].get(context)
+        return (own[x] + len(own) * lower) / (own.total() + len(own)) if own else lower
+
+    def score(u):
+        line, out = [0] * order + [code(c) for c in u], 0.0
+        for i in range(order, len(line)):
+            k = order - 1
+            out_here = 0.0
+            while k >= 0 and (tuple(line[i - k : i]), line[i]) not in known:  # what neither model has seen falls back
+                for model, sign in ((True, 1), (False, -1)):
+                    own = seen[model].get(tuple(line[i - k : i])) if k else None
+                    out_here += sign * math.log(len(own) / (own.total() + len(own))) if own else 0.0
+                k -= 1
+            if k >= 0:
+                context = tuple(line[i - k : i])
+                out_here += math.log(prob(True, context, line[i]) / prob(False, context, line[i]))
+            out += out_here
+        return out / len(u)
+
+    marked = [(score(u), kind(u)) for u in {u for u in urls if kind(u) is not None and held[u]}]
+    cuts = sorted({math.floor(s * url_filter.CUTS) for s, _ in marked})
+    n = Counter(a for _, a in marked)
+    gain = {c: sum(a and s * url_filter.CUTS >= c for s, a in marked) / n[True] + sum(not a and s * url_filter.CUTS < c for s, a in marked) / n[False] for c in cuts}
+    best = max(gain.values())
+    limit = min(c for c in cuts if math.isclose(gain[c], best)) / url_filter.CUTS
+    got = {r.page_id: r for r in url_filter.judge(pages, rules).collect()}
+    assert len(got) == len(urls) + 2 and {r.threshold for r in got.values()} == {limit} and (got[-1].score, got[-2].score) == (0.0, 0.0)
+    for i, u in enumerate(urls):
+        want = score(u)
+        assert math.isclose(got[i].score, want, rel_tol=1e-9, abs_tol=1e-9)
+        assert got[i].verdict == (("allow" if kind(u) else "block") if kind(u) is not None else "allow" if want >= limit else "block")
+
+
 def test_url_model_is_a_distribution(spark):
     """Probabilities of the interpolated model, read back from the ratio against brute force."""
     rng = random.Random(4)
@@ -340,10 +524,47 @@ def test_url_model_is_a_distribution(spark):
             assert math.isclose(model[code(gram)].ratio, want, rel_tol=1e-9, abs_tol=1e-9)
 
 
+def brute_license(text):
+    """Labels and best containment of one text: every block that begins at a word of the template, by plain sets."""
+    templates = []
+    for label, t in license_scan.TEMPLATES:
+        words = re.findall(license_scan.WORD, t.lower())
+        templates.append((label, set(words), 2 * len(words), math.ceil(0.8 * len(set(words)) - 1e-9)))
+    words = re.findall(license_scan.WORD, text)
+    runs = [words[48 * k : 48 * k + 96] for k in range(max(1, -(-len(words) // 48) - 1))]
+    labels, best = set(), 0.0
+    for run in runs if any(len(set(words) & t) >= need for _, t, _, need in templates) else []:
+        held = [x for x in templates if len(set(run) & x[1]) >= x[3]]
+        for label, t, most, need in held:
+            for i, w in enumerate(run):
+                if w in t:
+                    block = set(run[i : i + most])
+                    mine = t & block
+                    covered = any(len(u & block) >= n and mine <= u & block and (len(u & block) > len(mine) or len(u) < len(t)) for _, u, _, n in held)
+                    if len(mine) >= need and not covered:
+                        labels.add(label)
+                        best = max(best, len(mine) / len(t))
+    return labels, best
+
+
+NOTICES = (
+    ("Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files", "mit"),
+    ("Redistribution and use in source and binary forms,\nwith or without modification, are permitted\nprovided that the following conditions are met:", "bsd"),
+    ("prose before it. Licensed under CC BY-SA 4.0 and prose after it", "cc-by,cc-by-sa"),
+    ("Licensed under the\r\nApache License, Version 2.0" + " word" * 300 + " Released under the\n\nMIT License", "apache-2.0,mit"),
+    ("Released under the MIT License. Licensed under the Apache License, Version 2.0", "apache-2.0,mit"),
+    (" filler" * 50 + " This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0", "mpl-2.0"),
+    ("licensed to many of us under the weather of the day by 4 people of note and 0 others, with a copy of the software", ""),
+)
+
+
 def test_licenses(spark, odd, none, docs):
     assert rows(license_scan.scan(none)) == []
-    templates = license_scan._templates(license_scan.TEMPLATES)
-    for source, data in ((odd, [(r[0], r[1]) for r in ODD]), (docs, rows(docs.select("doc_id", "text")))):
+    assert 48 == max(most for *_, most in license_scan._templates(license_scan.TEMPLATES)), "the runs of brute_license() are as long as the operator's"
+    made = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NOTICES)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(made).collect()}
+    assert [got[i].labels for i in range(len(NOTICES))] == [x for _, x in NOTICES]
+    for source, data in ((odd, [(r[0], r[1]) for r in ODD]), (docs, rows(docs.select("doc_id", "text"))), (made, rows(made))):
         want = []
         for i, t in data:
             low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
@@ -351,16 +572,10 @@ def test_licenses(spark, odd, none, docs):
             for phrase, label in license_scan.PHRASES:
                 p = phrase.split()
                 places += [(k, label) for k in range(len(words) - len(p) + 1) if words[k : k + len(p)] == p]
-            base, best = {x for _, x in places}, 0.0
-            labels = set(base)
-            for block in re.split(r"[\r\n]+|(?<=[.!?;:])\s+", low):
-                own = set(re.findall(license_scan.WORD, block))
-                reached = [(len(own & set(x)) / len(x), label) for label, x in templates if len(own & set(x)) >= math.ceil(0.8 * len(x) - 1e-9)]
-                if reached:
-                    most = max(reached)[0]
-                    best, labels = max(best, most), labels | {label for c, label in reached if c == most}
+            base = {x for _, x in places}
+            labels, best = brute_license(low)
             starts = [k for k, _ in places]
-            want.append((i, len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if places else best))
+            want.append((i, len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if places else best))
         assert sorted(rows(license_scan.scan(source)), key=str) == sorted(want, key=str)
 
 
@@ -425,3 +640,28 @@ def test_near_copies_without_an_id_or_with_one_id_stay(spark):
 def test_language_stage_without_labels_keeps_texts(odd):
     bare = odd.withColumn("lang", F.lit(None).cast("string"))
     assert {r.doc_id for r in language_id.keep_identified(bare).collect()} == {None, 1, 2, 3, 7, 9}
+
+
+CLASHING = ("own_id", "own_sha", "OWN_SOURCE", "key", "block", "stay", "n", "sha", "keep_id", "found_language", "_stay", "_epoch", "_last", "_kept_id", "_language", "mark_id", "draw_epoch", "n_blocks", "row", "item", "item_", "bucket", "part", "slice", "fold", "score", "words")
+
+
+def test_clashing_columns_keep_their_values(spark, odd):
+    """The functions that return documents give back every column as it was."""
+    marked = odd.select("doc_id", "text", "lang", "source").withColumns({c: F.lit(f"my {c}") for c in CLASHING})
+    for stage in (language_id.keep_identified, exact_dedup.drop_copies, simhash.drop_near_copies, similar.drop_similar, mixing.resample):
+        found = stage(marked)
+        assert found.columns == marked.columns
+        got = found.collect()
+        assert got and all(r[c] == f"my {c}" for r in got for c in CLASHING)
+    for whole in (exact_dedup.exact_groups, simhash.near_duplicates, minhash.fingerprint_all, language_id.identify_all, license_scan.scan, token_files.round_trip, packing.pack, mixing.mix_all):
+        assert whole(marked).count() >= 8
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert lm_scoring.score_all(marked, labels).count() == len(ODD)
+    assert url_filter.judge(marked.withColumnsRenamed({"doc_id": "page_id", "text": "url"}), [("allow", "org/")]).count() == len(ODD)
+
+
+def test_texts_without_spaces_have_many_shingles(spark):
+    text = "".join(chr(0x4E00 + i * 37 % 5000) for i in range(400))
+    made = spark.createDataFrame([(1, text), (2, text[:390] + text[:10])], "doc_id long, text string")
+    got = {r.doc_id: r for r in minhash.fingerprint_all(made).collect()}
+    assert got[1].near_next > 0.8 and 0.4 < got[1].near_edited < 0.9

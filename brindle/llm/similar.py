@@ -2,9 +2,13 @@
 
 Candidates come from operator 7 (SimHash of the 5-word shingles, positional index, count filter) and, since that index is guaranteed for
 3 differing bits only, from MinHash as well: texts of a similarity of 0.8 differ in 9.7 of 64 bits on average and share about 2 of 8
-bytes. 20 bands of 5 values hold one that two texts of similarity 0.8 share with a probability of 0.9996. In a band's list each text
-looks at those that no surely similar text has reached yet, by all 100 values. Every candidate of either kind is verified by the exact
-similarity of the shingles' hashes, and only verified pairs link.
+bytes. 20 bands of 5 values hold one that two texts of similarity 0.8 share with a probability of 0.9996. Either kind of candidate only
+gathers clusters, by edges that grow with the texts and not with their pairs: in a band's list each text looks at those that nothing
+has reached yet, and what the 100 values say may be similar is reached.
+
+Within a cluster links are verified by the exact similarity of the sets of shingle hashes, each set sent once. A large cluster is dealt to
+blocks. The cluster's first text goes to all of them, so nearly all of a group of copies links in the first pass; then the texts outside
+the cluster's largest component, and only these, meet the other blocks. Each pass emits a tree of the links and not all of them.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.base import cut, keep_first, mix, parts, slices, texts_of
+from brindle.llm.base import cut, few, keep_first, mix, parts, slices, spread, sums, texts_of
 from brindle.llm.components import components
 from brindle.llm.minhash import shingle_hashes
 from brindle.llm.simhash import BLOCK, fingerprints, links, sha_of
@@ -22,8 +26,10 @@ from brindle.llm.simhash import BLOCK, fingerprints, links, sha_of
 SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 20, 5
-#: Estimated similarities, of a standard error of 0.04, from which a pair is verified, and from which a text counts as reached.
-MAYBE, SURELY = 0.66, 0.91
+#: Estimated similarity, of a standard error of 0.04, from which a pair may be similar.
+MAYBE = 0.66
+#: Texts of one cluster that meet in one task.
+TOGETHER = 1024
 #: Bytes of text that a task works on at once, and rows of the index that it holds besides a list that reaches further.
 SLICE = 1 << 20
 HELD = 1 << 15
@@ -62,22 +68,22 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _tree(nodes: np.ndarray, values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a list that may be similar, without those of texts that surely similar ones have reached."""
-    pairs, left = [], np.arange(len(nodes))
+    """Edges that connect what may be similar within a list, without all its pairs."""
+    edges, left = [], np.arange(len(nodes))
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            alike = (values[left] == values[x]).mean(axis=1)
-            hit, reached = left[alike >= MAYBE], alike >= SURELY
-            pairs.append((np.full(len(hit), nodes[x]), nodes[hit]))
-            queue.extend(left[reached])
+            reached = (values[left] == values[x]).mean(axis=1) >= MAYBE
+            hit = left[reached]
+            edges.append((np.full(len(hit), nodes[x]), nodes[hit]))
+            queue.extend(hit)
             left = left[~reached]
-    return pairs
+    return edges
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes of (node, signature, bands) that may be similar."""
+    """(a, b): edges between nodes of (node, signature, bands) that connect all that may be similar and share a band."""
     index = signed.select("node", F.explode("bands").alias("key"))
     lists = index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -121,26 +127,108 @@ def linked_prints(signed: DataFrame) -> DataFrame:
     return same.unionByName(near.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
 
 
+class Sets:
+    """The texts of one cell: nodes, signatures, and sets of shingle hashes, one after another."""
+
+    def __init__(self, nodes: list[int], late: list[bool], signatures: list[bytes], sets: list[bytes]):
+        order = np.argsort(~np.array(late), kind="stable")  # late ones first
+        self.nodes, self.n_late = np.array(nodes, np.int64)[order], int(np.sum(late))
+        self.values = np.frombuffer(b"".join(signatures[i] for i in order), "<u2").reshape(-1, BANDS * ROWS)
+        self.length = np.array([len(sets[i]) // 8 for i in order])
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(sets[i] for i in order), "<u8")
+
+    def similar(self, x: int, some: np.ndarray, least: float) -> np.ndarray:
+        """Which of some are similar to x; two texts without words are. What the signatures rule out is not compared."""
+        out = (self.values[some] == self.values[x]).mean(axis=1) >= MAYBE
+        near, own = some[out], self.flat[self.start[x] : self.start[x] + self.length[x]]
+        n = self.length[near]
+        found = self.flat[spread(self.start[near], n)]
+        both = sums(own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found, n) if len(own) else np.zeros(len(near), np.int64)
+        out[out] = both >= least * np.maximum(len(own) + n - both, 1e-9)
+        if not len(own):
+            out[self.length[some] == 0] = True
+        return out
+
+    def tree(self, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Edges that connect all similar pairs, but for pairs of which neither is late if any is."""
+        edges, left, stop = [], np.arange(len(self.nodes)), self.n_late or len(self.nodes)
+        while len(left) and left[0] < stop:
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                x = queue.pop()
+                reached = self.similar(x, left, least)
+                edges.append((np.full(int(reached.sum()), self.nodes[x]), self.nodes[left[reached]]))
+                queue.extend(left[reached])
+                left = left[~reached]
+        return edges
+
+
+def _verified(cells: DataFrame, least: float) -> DataFrame:
+    """(a, b): edges that connect the similar texts of each cell of (cell, node, late, signature, shingles)."""
+    dealt = cells.select("cell", "node", "late", "signature", "shingles").repartition(parts(cells.sparkSession), "cell").sortWithinPartitions("cell")
+
+    def find(batches):
+        cell, held = None, []
+
+        def out():
+            edges = Sets(*map(list, zip(*held, strict=True))).tree(least) if len(held) > 1 else []
+            pairs = np.concatenate([np.zeros((0, 2), np.int64), *(np.column_stack(e) for e in edges)])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            for own, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if own != cell and held:
+                    yield out()
+                    held = []
+                cell = own
+                held.append(row)
+        if held:
+            yield out()
+
+    return dealt.mapInArrow(find, "a long, b long")
+
+
 def similar_pairs(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """(a, b): candidates of (node, text) whose shingles have at least that Jaccard similarity."""
+    """(a, b): edges that connect the nodes of (node, text) whose shingles have at least that Jaccard similarity."""
     signed = cut(_signed(docs, size).dropDuplicates(["node"]))
-    pairs = cut(candidates(signed).unionByName(linked_prints(signed)).distinct())
-    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = cut(docs.select("node", "text").join(met, "node", "left_semi").dropDuplicates(["node"]))
-
-    @F.arrow_udf("double")
-    def jaccard(x: pa.Array, y: pa.Array) -> pa.Array:
-        x, y, out = texts_of(x), texts_of(y), []
-        for a, b in slices(x, SLICE):
-            (hx, nx), (hy, ny) = (shingle_hashes(t.slice(a, b - a), size) for t in (x, y))
-            for p, q in zip(np.split(hx, np.cumsum(nx)[:-1]), np.split(hy, np.cumsum(ny)[:-1]), strict=True):
-                p, q = np.unique(p), np.unique(q)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                out.append(both / (len(p) + len(q) - both) if len(p) or len(q) else 1.0)
-        return pa.array(out, pa.float64())
-
-    x, y = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", jaccard("x", "y").alias("jaccard")).filter(F.col("jaccard") >= least).select("a", "b")
+    clusters = cut(components(candidates(signed).unionByName(linked_prints(signed))).withColumnRenamed("label", "cluster"))
+
+    def sets(batches):
+        for batch in batches:
+            texts = texts_of(batch.column(1))
+            for a, b in slices(texts, SLICE):
+                hashes, n = shingle_hashes(texts.slice(a, b - a), size)
+                own = [np.unique(x).astype("<u8").tobytes() for x in np.split(hashes, np.cumsum(n)[:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own, pa.binary())], ["node", "shingles"])
+
+    met = docs.select("node", "text").join(few(clusters), "node", "left_semi")
+    shingles = met.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+    n = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("blocks"))
+    members = shingles.join(signed.select("node", "signature"), "node").join(clusters, "node").join(n, "cluster")
+    members = cut(members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    # The cluster's first text is its label.
+    to = F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    cells = members.withColumn("block", F.explode(to)).withColumns({"cell": F.xxhash64("cluster", "block"), "late": F.lit(False)})
+    edges = cut(_verified(cells, least))
+    large = members.filter("blocks > 1")
+    if large.isEmpty():
+        return edges
+    linked = components(edges).select(F.col("node").alias("linked"), "label")
+    labelled = cut(large.select("node", "cluster", "block", "blocks").join(linked, F.col("node") == F.col("linked"), "left").withColumn("label", F.coalesce("label", "node")))
+    largest = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    late = labelled.join(largest, "cluster").filter("label <> largest").select("node", "cluster", "block", "blocks")
+    chunks = late.groupBy("cluster").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("chunks"))
+    late = cut(late.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")))
+    # Each chunk of late texts meets every block; rows are the cluster's, times the chunks.
+    mine = late.select("node", F.col("cluster").alias("of"), F.col("block").alias("own"), "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
+    cell = lambda cluster, chunk, block: F.xxhash64(cluster, chunk, block, F.lit(2)).alias("cell")
+    first = mine.join(large.select("node", "signature", "shingles"), "node").select(cell("of", "chunk", "to"), "node", F.lit(True).alias("late"), "signature", "shingles")
+    chunk = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    others = large.join(chunks, "cluster").join(late.select(F.col("node").alias("x"), F.col("chunk").alias("y")), F.col("node") == F.col("x"), "left")
+    others = others.select("cluster", "block", "node", "signature", "shingles", "y", chunk.alias("chunk")).filter("y is null or y <> chunk")
+    others = others.select(cell("cluster", "chunk", "block"), "node", F.lit(False).alias("late"), "signature", "shingles")
+    return edges.unionByName(cut(_verified(first.unionByName(others), least)))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST) -> DataFrame:

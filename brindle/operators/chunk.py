@@ -9,27 +9,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP = 1200, 200
-#: Where a piece may end, best first: after a blank line, after a sentence, after any white space.
-BREAKS = (re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?:;])\s+"), re.compile(r"\s+"))
+WHITE = re.compile(r"\s+")
+END_MARKS = ".!?:;"
+
+
+def last_break(text: str, at: int, limit: int, least: int) -> int:
+    """Where a piece from at ends: behind the last blank line, else sentence, else white space that ends in [least, limit]; else limit.
+
+    The runs of white space are looked at once; what a run is follows from its line ends and from the character before it.
+    """
+    blank = sentence = space = 0
+    for run in WHITE.finditer(text, at, limit):
+        first, stop = run.span()
+        if text.count("\n", first, stop) > 1:
+            blank = max(blank, text.rfind("\n", first, stop) + 1)
+        if first > at and text[first - 1] in END_MARKS:
+            sentence = stop
+        space = stop
+    return next((place for place in (blank, sentence, space) if place >= least), limit)
 
 
 def pieces(text: str | None, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """Pieces of at most size characters. Each ends at the last good break in the second half of its window; the next one starts after
-    the first white space within the overlap before that end."""
-    text, found, at = re.sub(r"[ \t]+\n", "\n", text or "").strip(), [], 0
-    while at < len(text):
-        end = min(len(text), at + size)
-        if end < len(text):
-            window = text[at:end]
-            ends = ([m.end() for m in b.finditer(window) if m.end() >= size // 2] for b in BREAKS)
-            end = at + next((e[-1] for e in ends if e), size)
-        if piece := text[at:end].strip():
-            found.append(piece)
-        if end == len(text):
-            break
-        back = re.compile(r"\s").search(text, max(at + 1, end - overlap), end)
-        at = max(at + 1, back.end() if back else end - overlap)
-    return found
+    """Pieces of at most size characters that end at good breaks; the next one begins behind the first space of the overlap, if any."""
+    text, found, at, end = re.sub(r"[ \t]+\n", "\n", text or "").strip(), [], 0, 0
+    while end < len(text):
+        end = len(text) if len(text) - at <= size else last_break(text, at, at + size, at + size // 2)
+        found.append(text[at:end].strip())
+        earliest = max(at + 1, end - overlap)
+        at = text.find(" ", earliest, end) + 1 or earliest
+    return [piece for piece in found if piece]
 
 
 def chunks(docs: DataFrame, text_col: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -53,23 +61,27 @@ def section_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) ->
     return cut.select("name", number.alias("position"), "label", "piece")
 
 
+def line_pieces(text: str | None, size: int) -> list[str]:
+    """Whole lines (between \n) as far as they fit into size; a line that is longer is cut by length. A short text is one piece."""
+    if len(text or "") <= size:
+        return [text or ""]
+    done, now = [], ""
+    for line in text.split("\n"):
+        *whole, line = [line[k : k + size] for k in range(0, max(1, len(line)), size)]
+        done += whole
+        joined = f"{now}\n{line}" if now else line  # empty lines before the first of a piece leave no trace
+        if now and len(joined) > size:
+            done.append(now)
+            joined = line
+        now = joined
+    return done + [now] * bool(now.strip())
+
+
 def line_chunks(docs: DataFrame, id_col: str, text_col: str = "text", size: int = 4000) -> DataFrame:
-    """Pieces that end at line ends; a line longer than a piece is cut by length."""
-
-    def cut_lines(text: str | None) -> list[str]:
-        found, now = [], ""
-        for line in (text or "").splitlines(keepends=True):
-            if now and len(now) + len(line) > size:
-                found.append(now)
-                now = ""
-            while len(line) > size:
-                found.append(line[:size])
-                line = line[size:]
-            now += line
-        return [x for x in (*found, now) if x.strip()]
+    """One row per piece of line_pieces() with its position."""
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(cut_lines)
+        return texts.map(lambda t: line_pieces(t, size))
 
     return docs.select(id_col, F.posexplode(cut(F.col(text_col))).alias("position", "piece"))

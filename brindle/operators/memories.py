@@ -47,7 +47,7 @@ def forgetting(store: DataFrame, requests: DataFrame) -> DataFrame:
 def prompt_lines(store: DataFrame, most_chars: int = PROMPT_CHARS) -> DataFrame:
     """Per scope the newest memories that fit, oldest first, as one text."""
     back = Window.partitionBy("scope").orderBy(F.desc("added"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    kept = store.withColumn("_used", F.sum(F.length("text") + 3).over(back)).where(F.col("_used") <= most_chars)
+    kept = store.withColumn("_used", F.sum(F.length("text") + 3).over(back)).where(F.col("_used") - 1 <= most_chars)  # the last line has no line end
     lines = F.array_sort(F.collect_list(F.struct("added", "id", "text")))
     return kept.groupBy("scope").agg(F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x["text"])), "\n").alias("lines"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,9 +18,23 @@ DIMENSIONS = 64
 BLOCK = 1024
 
 
+@functools.cache
+def _marked_letters() -> tuple[str, str]:
+    """Small letters that are a letter and a diacritic (Latin, Greek, Cyrillic), and their letters."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x500), *range(0x1E00, 0x2000))]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and all(map(unicodedata.combining, d[1:])) and c.islower()]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+def folded(c: Column) -> Column:
+    """Lower case, without diacritics."""
+    low = F.lower(c)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, *_marked_letters())).otherwise(low)
+
+
 def tokens(c: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits, lower-cased and without diacritics."""
+    return F.regexp_extract_all(folded(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

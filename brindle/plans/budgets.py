@@ -122,9 +122,20 @@ def redacted_history(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.when(attached & (F.col("role") == "assistant"), "[left out]").otherwise(F.col("text")).alias("text"))
 
 
-@query("R02_hard_and_follow_up", r"SELECT conv_id, turn, length(text) > 800 AS long_request, len(regexp_extract_all(text, '\S+')) <= 8 AS short_request FROM conversations")
+_HARD = routing.HARD.removeprefix("(?iU)").replace("'", "''")
+_EVERYDAY = routing.EVERYDAY.removeprefix("(?iU)").replace("'", "''")
+_EXPERT = routing.EXPERT.removeprefix("(?iU)").replace("'", "''")
+
+
+@query(
+    "R02_hard_and_follow_up",
+    rf"""SELECT conv_id, turn, hard, NOT hard AND len(regexp_extract_all(text, '\S+')) <= 8 AS follow_up, expert, everyday FROM (SELECT *,
+        regexp_matches(text, '{_HARD}', 'i') OR length(text) > 800 OR conv_id % 7 = 0 AS hard, regexp_matches(text, '{_EXPERT}', 'i') AS expert, regexp_matches(text, '{_EVERYDAY}', 'i') AS everyday FROM conversations)""",
+)
 def hard_and_follow_up(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", (F.length("text") > routing.LONG).alias("long_request"), (F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))) <= routing.SHORT_WORDS).alias("short_request"))
+    """Every seventh conversation stands for one with files."""
+    found = routing.features(table(spark, d, "conversations"), F.col("conv_id") % 7 == 0)
+    return found.select("conv_id", "turn", "hard", "follow_up", "expert", "everyday")
 
 
 def _messages(spark, d):

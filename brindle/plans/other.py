@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.catalog import table
-from brindle.functions.values import STOP_WORDS
+from brindle.functions.values import MEMORY_STOP_WORDS
 from brindle.operators import blocks, charts, memories
 from brindle.plans.book import Book
 from brindle.sources import files, sheets
@@ -16,16 +16,16 @@ query = BOOK.query
 
 
 def _memories(spark, d):
-    return table(spark, d, "conversations").where("role = 'user'").select(F.concat(F.lit("scope"), F.col("conv_id") % 5).alias("scope"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.left("text", F.lit(120)).alias("text"), F.col("turn").alias("added"))
+    return table(spark, d, "conversations").where("role = 'user'").select(F.concat(F.lit("scope"), F.col("conv_id") % 5).alias("scope"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text", F.col("turn").alias("added"))
 
 
-_MEMORIES = "(SELECT 'scope' || conv_id % 5 AS scope, conv_id * 100 + turn AS id, left(text, 120) AS text, turn AS added FROM conversations WHERE role = 'user')"
+_MEMORIES = "(SELECT 'scope' || conv_id % 5 AS scope, conv_id * 100 + turn AS id, text, turn AS added FROM conversations WHERE role = 'user')"
 
 
 @query(
     "M02_match_score",
     rf"""SELECT id, round(len(list_intersect(stems, ['tion', 'ther', 'that', 'erin'])) / 4::DOUBLE, 4) AS score FROM (SELECT id, list_transform(list_filter(
-        regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]{{3,}}'), lambda w: w NOT IN ({", ".join(f"'{w}'" for w in STOP_WORDS)})), lambda w: substr(w, 1, 4)) AS stems FROM {_MEMORIES})""",
+        regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{3,}}'), lambda w: w NOT IN ({", ".join(f"'{w}'" for w in MEMORY_STOP_WORDS)})), lambda w: substr(w, 1, 4)) AS stems FROM {_MEMORIES})""",
 )
 def match_score(spark, d):
     return _memories(spark, d).select("id", F.round(memories.match_score(F.col("text"), F.lit("tional thereupon thatched erinwh")), 4).alias("score"))
@@ -40,13 +40,13 @@ def memories_added(spark, d):
 @query("M03_forgetting")
 def forgetting(spark, d):
     store = _memories(spark, d)
-    requests = store.where("added <= 2").select(F.col("id").alias("request"), "scope", F.left("text", F.lit(30)).alias("wanted"))
+    requests = store.where("added <= 2").select(F.col("id").alias("request"), "scope", F.col("text").alias("wanted"))
     return memories.forgetting(store, requests)
 
 
 @query(
     "M04_prompt_lines",
-    f"""SELECT scope, string_agg('- ' || text, chr(10) ORDER BY added, id) AS lines FROM (SELECT *, sum(length(text) + 3) OVER (PARTITION BY scope ORDER BY added DESC, id DESC ROWS UNBOUNDED PRECEDING) AS used FROM {_MEMORIES}) WHERE used <= 2000 GROUP BY scope""",
+    f"""SELECT scope, string_agg('- ' || text, chr(10) ORDER BY added, id) AS lines FROM (SELECT *, sum(length(text) + 3) OVER (PARTITION BY scope ORDER BY added DESC, id DESC ROWS UNBOUNDED PRECEDING) AS used FROM {_MEMORIES}) WHERE used - 1 <= 2000 GROUP BY scope""",
 )
 def prompt_lines(spark, d):
     return memories.prompt_lines(_memories(spark, d), 2000)

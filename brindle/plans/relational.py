@@ -135,13 +135,23 @@ def every_pair(spark, d):
     """SELECT doc_id, item_id FROM documents, (SELECT item_id, text AS passage FROM benchmark) WHERE contains(text, passage)""",
 )
 def containment_join(spark, d):
-    """Which documents hold which benchmark passage: candidates share the passage's first 8 words, then the whole passage is looked for."""
-    passages = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")).withColumn("key", F.xxhash64(F.slice(F.split("passage", " "), 2, 7)))
+    """Which documents hold which benchmark passage: candidates share 7 words within it, then the whole passage is looked for.
+
+    The first and the last word of a passage may be parts of longer words in the text, so the key leaves them out. Passages of fewer than
+    9 words have no such key; they are looked for in every text, broadcast if there are few of them.
+    """
+    passages = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")).withColumn("inner", F.split("passage", " "))
+    passages = passages.withColumn("key", F.when(F.size("inner") >= 9, F.xxhash64(F.slice("inner", 2, 7)))).drop("inner")
     docs = table(spark, d, "documents").select("doc_id", "text")
     split = docs.select("doc_id", F.split("text", " ").alias("w"))  # a column of its own, so that a text is split once and not for each of its words
     keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 6, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, F.lit(7)))))
-    found = split.select("doc_id", F.explode(keys).alias("key")).join(passages, "key").select("doc_id", "item_id", "passage")
-    return found.join(docs, "doc_id").where(F.contains("text", "passage")).select("doc_id", "item_id").distinct()
+    found = split.select("doc_id", F.explode(keys).alias("key")).join(passages.where("key IS NOT NULL"), "key").select("doc_id", "item_id", "passage")
+    long = found.join(docs, "doc_id").where(F.contains("text", "passage")).select("doc_id", "item_id").distinct()
+    brief = passages.where("key IS NULL").select("item_id", "passage")
+    if brief.isEmpty():
+        return long
+    brief = F.broadcast(brief) if brief.count() <= 10_000 else brief
+    return long.unionByName(docs.join(brief, F.contains("text", "passage")).select("doc_id", "item_id"))
 
 
 @query(
@@ -270,10 +280,10 @@ def sum_within_tolerance(spark, d):
 
 @query(
     "A09_least_by_order",
-    """SELECT o_custkey, arg_min(o_orderpriority, (length(o_orderpriority) * 1000000 + o_orderkey)) AS doubtful FROM orders GROUP BY o_custkey""",
+    """SELECT o_custkey, first(o_orderpriority ORDER BY length(o_orderpriority), o_orderkey) AS doubtful FROM orders GROUP BY o_custkey""",
 )
 def least_by_order(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.min_by("o_orderpriority", F.length("o_orderpriority") * 1000000 + F.col("o_orderkey")).alias("doubtful"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.min_by("o_orderpriority", F.struct(F.length("o_orderpriority"), "o_orderkey")).alias("doubtful"))
 
 
 @query(

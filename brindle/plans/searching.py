@@ -13,7 +13,7 @@ BOOK = Book()
 query = BOOK.query
 
 _STOP = ", ".join(f"'{w}'" for w in values.STOP_WORDS)
-_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_TOKENS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
 
 
 def _questions(spark, d):
@@ -24,7 +24,7 @@ _KEYWORDS = rf"""SELECT item_id, CASE WHEN len(kept) > 0 THEN kept ELSE w END AS
     FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM benchmark))"""
 
 _BM25 = rf"""
-WITH asked AS (SELECT DISTINCT item_id AS question, unnest(regexp_extract_all(array_to_string(k, ' '), '[\p{{L}}\p{{N}}]+')) AS term FROM ({_KEYWORDS})),
+WITH asked AS (SELECT DISTINCT item_id AS question, unnest(regexp_extract_all(strip_accents(array_to_string(k, ' ')), '[\p{{L}}\p{{N}}]+')) AS term FROM ({_KEYWORDS})),
 docs AS (SELECT doc_id AS id, {_TOKENS} AS words FROM documents),
 sizes AS (SELECT count(*) AS n_docs, avg(len(words)) AS mean_length FROM docs),
 tf AS (SELECT id, term, count(*) AS tf, any_value(len) AS length FROM (SELECT id, len(words) AS len, unnest(words) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY id, term),

@@ -11,6 +11,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",  # else every column call records where it stands, most of the time of building large plans
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

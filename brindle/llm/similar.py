@@ -204,8 +204,8 @@ def similar_pairs(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) ->
 
     met = docs.select("node", "text").join(few(clusters), "node", "left_semi")
     shingles = met.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
-    n = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("blocks"))
-    members = shingles.join(signed.select("node", "signature"), "node").join(clusters, "node").join(n, "cluster")
+    n = cut(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("blocks")))
+    members = shingles.join(signed.select("node", "signature"), "node").join(clusters, "node").join(few(n), "cluster")
     members = cut(members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     # The cluster's first text is its label.
     to = F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
@@ -216,9 +216,9 @@ def similar_pairs(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) ->
         return edges
     linked = components(edges).select(F.col("node").alias("linked"), "label")
     labelled = cut(large.select("node", "cluster", "block", "blocks").join(linked, F.col("node") == F.col("linked"), "left").withColumn("label", F.coalesce("label", "node")))
-    largest = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-    late = labelled.join(largest, "cluster").filter("label <> largest").select("node", "cluster", "block", "blocks")
-    chunks = late.groupBy("cluster").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("chunks"))
+    largest = cut(labelled.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("largest")))
+    late = labelled.join(few(largest), "cluster").filter("label <> largest").select("node", "cluster", "block", "blocks")
+    chunks = few(cut(late.groupBy("cluster").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("chunks"))))
     late = cut(late.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")))
     # Each chunk of late texts meets every block; rows are the cluster's, times the chunks.
     mine = late.select("node", F.col("cluster").alias("of"), F.col("block").alias("own"), "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))

@@ -78,7 +78,7 @@ def least_bins(lengths: list[int], capacity: int) -> int:
 
 def fitness(groups: list[list[int]], lengths: list[int], capacity: int) -> float:
     """Falkenauer's: the mean squared fill; more when bins are fewer, and when their fills are uneven."""
-    return sum((sum(lengths[i] for i in g) / capacity) ** 2 for g in groups) / max(1, len(groups))
+    return sum((sum(map(lengths.__getitem__, g)) / capacity) ** 2 for g in groups) / max(1, len(groups))
 
 
 def _rank(groups, lengths, capacity):
@@ -95,7 +95,7 @@ def first_packing(order: list[int], lengths: list[int], capacity: int) -> list[l
 def _rebuild(kept: list[list[int]], displaced: list[int], lengths: list[int], capacity: int) -> list[list[int]]:
     bins = Bins(capacity)
     for g in kept:
-        bins.add(capacity - sum(lengths[i] for i in g), list(g))
+        bins.add(capacity - sum(map(lengths.__getitem__, g)), list(g))
     for i in sorted(displaced, key=lambda i: (-lengths[i], i)):
         bins.best_fit(i, lengths[i])
     return bins.groups()
@@ -103,7 +103,7 @@ def _rebuild(kept: list[list[int]], displaced: list[int], lengths: list[int], ca
 
 def crossover(mother: list[list[int]], father: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """Inject a random half of the father's well-filled bins whole, drop the mother's bins that share a piece, best-fit the rest."""
-    full = [g for g in father if sum(lengths[i] for i in g) >= 0.99 * capacity]
+    full = [g for g in father if sum(map(lengths.__getitem__, g)) >= 0.99 * capacity]
     injected = [g for g in full if rng.random() < 0.5]
     inside = {i for g in injected for i in g}
     kept, displaced = list(injected), []
@@ -117,7 +117,7 @@ def crossover(mother: list[list[int]], father: list[list[int]], lengths: list[in
 
 def mutate(groups: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """Open the emptiest bins and a few others, and best-fit their pieces again."""
-    by_fill = sorted(groups, key=lambda g: sum(lengths[i] for i in g))
+    by_fill = sorted(groups, key=lambda g: sum(map(lengths.__getitem__, g)))
     opened = min(len(groups), max(2, len(groups) // 50))
     some = set(range(opened)) | {rng.randrange(len(groups)) for _ in range(opened)}
     return _rebuild([g for j, g in enumerate(by_fill) if j not in some], [i for j in some for i in by_fill[j]], lengths, capacity)

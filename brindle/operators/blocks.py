@@ -70,3 +70,79 @@ def edited(blocks: DataFrame, edits: DataFrame) -> DataFrame:
 def found_and_replaced(text: Column, find: str, put: str) -> tuple[Column, Column]:
     """The text with every occurrence replaced, and how many there were."""
     return F.replace(text, F.lit(find), F.lit(put)), F.floor((F.length(text) - F.length(F.replace(text, F.lit(find), F.lit("")))) / len(find)).cast("long")
+
+
+def selected(blocks: DataFrame, target: str, ids: list[int] | None = None) -> DataFrame:
+    """The blocks an edit is meant for: those of given positions, all, headings, body (neither headings nor tables), or tables."""
+    kind = F.col("type")
+    chosen = {"ids": F.col("position").isin(ids or []), "all": F.lit(True), "headings": kind == "heading", "body": ~kind.isin("heading", "table"), "tables": kind == "table"}
+    if target not in chosen:
+        raise ValueError("name positions, or one of all, headings, body and tables")
+    return blocks.where(chosen[target])
+
+
+def without_empty_pages(blocks: DataFrame) -> DataFrame:
+    """Page breaks before any content, or right after another one, would make empty pages and go."""
+    before = F.lag("type").over(Window.partitionBy("id").orderBy("position"))
+    return blocks.withColumn("_before", before).where((F.col("type") != "page_break") | F.coalesce(F.col("_before") != "page_break", F.lit(False))).drop("_before")
+
+
+def cell_labels(cells: DataFrame) -> DataFrame:
+    """What the empty cells of tables (doc, table, row, col, text; counted from 1) are for: (doc, table, row, col, label).
+
+    A cell on the left that ends with a colon settles it. In a grid of three columns or more with a full heading row it is the row's first
+    cell and the column's heading; else the cell on the left, else the heading. Labels are short: at most 8 words.
+    """
+    text = F.trim(F.coalesce("text", F.lit("")))
+    of_row, of_col, whole = Window.partitionBy("doc", "table", "row").orderBy("col"), Window.partitionBy("doc", "table", "col").orderBy("row"), Window.partitionBy("doc", "table")
+    top = F.when(F.col("row") == 1, F.col("t"))
+    marked = cells.withColumn("t", text).withColumns({
+        "left": F.coalesce(F.lag("t").over(of_row), F.lit("")),
+        "name": F.when(F.col("col") > 1, F.first("t").over(of_row)).otherwise(""),
+        "head": F.first("t").over(of_col),
+        "columns": F.count(top).over(whole),
+        "full": F.coalesce(F.min(top != "").over(whole), F.lit(False)),
+    })
+
+    def short(c: str, most: int) -> Column:
+        bare = F.trim(F.regexp_replace(c, ":+$", ""))
+        return F.when((F.length(c) <= most) & (F.size(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))) <= 8), bare).otherwise("")
+
+    left, name = short("left", 60), short("name", 60)
+    head = F.when((F.col("row") > 1) & (F.col("columns") > 1) & F.col("full"), short("head", 40)).otherwise("")
+    grid = (head != "") & (F.col("columns") > 2) & ~F.endswith("left", F.lit(":"))
+    label = F.when(grid, F.when(name != "", F.concat(name, F.lit(" - "), head)).otherwise(F.concat(head, F.lit(" (row "), F.col("row") - 1, F.lit(")")))).when(left != "", left).otherwise(head)
+    return marked.where("t = ''").select("doc", "table", "row", "col", label.alias("label"))
+
+
+def snake(c: Column) -> Column:
+    """A name of lower-case words joined by _."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "_"), F.lit("_"))
+
+
+def slot_fields(labels: DataFrame) -> DataFrame:
+    """The single fields of a slot map: (doc, position, name). labels: (doc, position, role, name, group, instance).
+
+    A name that comes again gets a number: name, name_2, name_3. Fields without a name are no fields.
+    """
+    named = labels.where("role = 'field'").select("doc", "position", snake(F.col("name")).alias("base")).where("base <> ''")
+    number = F.row_number().over(Window.partitionBy("doc", "base").orderBy("position"))
+    return named.select("doc", "position", F.when(number == 1, F.col("base")).otherwise(F.concat_ws("_", "base", number)).alias("name"))
+
+
+def slot_groups(labels: DataFrame) -> DataFrame:
+    """The repeated items of a slot map: (doc, group, instance, fields, lists, start, end, apart).
+
+    A name that stands twice in one item is a list in all items of its group. Items that reach into each other aren't separate runs
+    of blocks, and then apart is false for the whole group.
+    """
+    items = labels.where("role = 'group_item'").select("doc", "position", snake(F.col("name")).alias("name"), snake(F.col("group")).alias("group"), F.coalesce("instance", F.lit(1)).alias("instance"))
+    items = items.where("name <> '' AND `group` <> ''")
+    counted = items.groupBy("doc", "group", "instance", "name").agg(F.array_sort(F.collect_list("position")).alias("places"))
+    counted = counted.withColumn("listed", F.max(F.size("places") > 1).over(Window.partitionBy("doc", "group", "name")))
+    entry = lambda flag, value: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("listed") == flag, F.struct("name", value.alias("v"))))))
+    made = counted.groupBy("doc", "group", "instance").agg(
+        entry(False, F.get("places", F.lit(0))).alias("fields"), entry(True, F.col("places")).alias("lists"), F.min(F.array_min("places")).alias("start"), F.max(F.array_max("places")).alias("end")
+    )
+    reach = F.max("end").over(Window.partitionBy("doc", "group").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    return made.withColumn("reach", reach).withColumn("apart", F.min(F.coalesce(F.col("start") > F.col("reach"), F.lit(True))).over(Window.partitionBy("doc", "group"))).drop("reach")

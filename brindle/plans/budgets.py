@@ -90,11 +90,17 @@ def fit_turns(spark, d):
     return budget.fit_turns(table(spark, d, "conversations"), 600)
 
 
-@query("C08_choose_files")
+@query(
+    "C08_choose_files",
+    f"""WITH RECURSIVE t AS (SELECT conv_id, turn, {_estimate('text')} AS cost, sum({_estimate('text')}) OVER (PARTITION BY conv_id) AS total FROM conversations), small AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM t WHERE total > 400 AND cost <= 100),
+    walk AS (SELECT conv_id, turn, r, cost <= 200 AS kept, CASE WHEN cost <= 200 THEN cost ELSE 0 END AS used FROM small WHERE r = 1
+      UNION ALL SELECT s.conv_id, s.turn, s.r, w.used + s.cost <= 200, CASE WHEN w.used + s.cost <= 200 THEN w.used + s.cost ELSE w.used END FROM walk w JOIN small s ON s.conv_id = w.conv_id AND s.r = w.r + 1)
+    SELECT conv_id, turn AS name FROM walk WHERE kept UNION ALL SELECT conv_id, turn FROM t WHERE total <= 400""",
+)
 def choose_files(spark, d):
-    docs = table(spark, d, "documents").select("source", F.struct(F.col("doc_id").cast("string").alias("name"), budget.estimate(F.col("text")).alias("cost")).alias("f"))
-    files = docs.groupBy("source").agg(F.array_sort(F.collect_list("f")).alias("files"))
-    return files.select("source", F.explode(budget.choose_files(F.col("files"), F.lit(20_000))).alias("name"))
+    """A conversation's turns as its files: those that are given whole within 400 tokens."""
+    files = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("name"), budget.estimate(F.col("text")).alias("cost")))).alias("files"))
+    return files.select("conv_id", F.explode(budget.choose_files(F.col("files"), F.lit(400))).alias("name"))
 
 
 @query("C10_notes")

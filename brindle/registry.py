@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import budgets, invoicing, other, relational, searching
+from brindle.plans import budgets, invoicing, other, relational, searching, workspace
 from brindle.plans.book import Query
 
-BOOKS = (relational.BOOK, searching.BOOK, budgets.BOOK, invoicing.BOOK, other.BOOK)
+BOOKS = (relational.BOOK, searching.BOOK, budgets.BOOK, invoicing.BOOK, other.BOOK, workspace.BOOK)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.values import column_name, sheet_cell, sheet_date, sheet_number
@@ -146,3 +146,31 @@ def load(raw: DataFrame) -> Sheet:
     kept = F.map_from_entries(F.filter(F.array(*rescued), lambda x: x.isNotNull()))
     title = " / ".join(c for r in head[: at or 0] for c in r.cells if c)[:200]
     return Sheet(data.select("position", *typed, kept.alias("_rescued")), list(zip(names, headers, kinds, strict=True)), title)
+
+
+def described(sheet: Sheet, table: str, name: str, file: str, samples: int = 5) -> str:
+    """A loaded sheet as text: its table, title, columns with their headers, and the first rows. A few rows reach the driver."""
+    columns = ", ".join(f"{n} {kind}" + (f' ("{header}")' if header not in ("", n) else "") for n, header, kind in sheet.columns)
+    names = [n for n, _, _ in sheet.columns]
+    first = sheet.rows.orderBy("position").limit(samples).select(names).collect()
+    rows = ["| " + " | ".join("" if v is None else str(v)[:40] for v in row) + " |" for row in first]
+    title = [f"Title above the table: {sheet.title}"] if sheet.title else []
+    shown = ["First rows:", f"| {' | '.join(names)} |", *rows] if rows else []
+    return "\n".join([f'Table "{table}" (sheet "{name}" of {file}, {sheet.rows.count():,} rows)', *title, f"Columns: {columns}", *shown])
+
+
+def sheet_texts(rows: DataFrame, most: int = 2000) -> DataFrame:
+    """Sheets (sheet, position, cells) as Markdown tables: (sheet, text). Blank rows and cells at the end of rows go; others are padded.
+
+    At most so many rows of a sheet are given, and then a last line says so: a top-k by place, which is cut in each task first.
+    """
+    cell = lambda c: F.trim(F.translate(F.coalesce(c, F.lit("")), "|\n", "/ "))
+    last = F.array_max(F.transform("cells", lambda c, i: F.when(c != "", i + 1).otherwise(0)))
+    tidy = rows.withColumn("cells", F.transform("cells", cell)).withColumn("cells", F.slice("cells", F.lit(1), F.coalesce(last, F.lit(0)))).where(F.size("cells") > 0)
+    first = tidy.withColumn("n", F.row_number().over(Window.partitionBy("sheet").orderBy("position"))).where(F.col("n") <= most + 1)
+    found = first.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("n", "cells"))).alias("rows"), F.max(F.size("cells")).alias("width"))
+    line = lambda x: F.concat(F.lit("| "), F.array_join(F.concat(x["cells"], F.array_repeat(F.lit(""), F.col("width") - F.size(x["cells"]))), " | "), F.lit(" |"))
+    lines = F.transform(F.slice("rows", 1, most), line)
+    more = F.when(F.size("rows") > most, F.array(F.lit(f"(only the first {most} rows of this sheet were read)"))).otherwise(F.array().cast("array<string>"))
+    rule = F.array(F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("width"))))
+    return found.select("sheet", F.array_join(F.concat(F.slice(lines, 1, 1), rule, F.slice(lines, 2, most), more), "\n").alias("text"))

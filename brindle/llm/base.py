@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,24 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(pc.not_equal(words, "")), np.diff(split.offsets.to_numpy()) - blank.to_numpy(zero_copy_only=False)
 
 
+def release() -> None:
+    """Give memory that this Python worker has freed back to the system: it may wait for its next task while the JVM needs that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim:
+        trim(0)
+
+
+def tidy(f: Callable) -> Callable:
+    """f, a function on the batches of a partition, with release() at its end."""
+
+    def run(batches):
+        yield from f(batches)
+        release()
+
+    return run
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold at most so many bytes, or one row."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.base import cut, fresh, mix, slices, sums, texts_of
+from brindle.llm.base import cut, fresh, mix, release, slices, sums, texts_of, tidy
 
 SIZES = (2, 3, 4)
 #: Least share of a language's n-grams that puts one into its filter, and the least share of the largest relative frequency.
@@ -99,7 +99,7 @@ def gram_counts(rows: DataFrame, text_col: str = "text", lang_col: str = "lang")
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * int(some.sum()), pa.string()), pa.array(grams[some].view(np.int64)), pa.array(n[some])], ["lang", "gram", "n"])
 
     known = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return known.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SHARE, relative: float = RELATIVE) -> LanguageModel:
@@ -159,6 +159,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text",
     @F.arrow_udf("struct<lang:string,score:double>")
     def identify(texts: pa.Array) -> pa.Array:
         names, scores = predict(texts, shared.value)
+        release()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     return docs.withColumn(out, identify(F.col(text_col)))

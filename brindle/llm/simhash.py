@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.base import cut, keep_first, parts, slices, texts_of
+from brindle.llm.base import cut, keep_first, parts, slices, texts_of, tidy
 from brindle.llm.components import components
 
 SEED = 42
@@ -163,7 +163,7 @@ def links(distinct: DataFrame, column: str = "fingerprint", most: int = 3) -> Da
         if len(group):
             yield out(group, prints)
 
-    return dealt.mapInArrow(find, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(find), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.base import cut, few, keep_first, mix, parts, slices, spread, sums, texts_of
+from brindle.llm.base import cut, few, keep_first, mix, parts, slices, spread, sums, texts_of, tidy
 from brindle.llm.components import components
 from brindle.llm.minhash import shingle_hashes
 from brindle.llm.simhash import BLOCK, fingerprints, links, sha_of
@@ -33,6 +33,8 @@ TOGETHER = 1024
 #: Bytes of text that a task works on at once, and rows of the index that it holds besides a list that reaches further.
 SLICE = 1 << 20
 HELD = 1 << 15
+#: Rows of a batch that become Python objects at once.
+ROWS_AT_ONCE = 256
 
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -64,7 +66,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
             prints = pa.array(fingerprints(batch.column(1), size))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in short], pa.binary()), bands, prints], ["node", "signature", "bands", "fingerprint"])
 
-    return docs.select("node", "text").mapInArrow(sign, "node long, signature binary, bands array<long>, fingerprint long")
+    return docs.select("node", "text").mapInArrow(tidy(sign), "node long, signature binary, bands array<long>, fingerprint long")
 
 
 def _tree(nodes: np.ndarray, values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -115,7 +117,7 @@ def candidates(signed: DataFrame) -> DataFrame:
         if len(group):
             yield out(len(group))
 
-    return dealt.mapInArrow(find, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(find), "a long, b long").distinct()
 
 
 def linked_prints(signed: DataFrame) -> DataFrame:
@@ -177,16 +179,18 @@ def _verified(cells: DataFrame, least: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
-            for own, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if own != cell and held:
-                    yield out()
-                    held = []
-                cell = own
-                held.append(row)
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                some = batch.slice(at, ROWS_AT_ONCE)
+                for own, *row in zip(*(some.column(i).to_pylist() for i in range(5)), strict=True):
+                    if own != cell and held:
+                        yield out()
+                        held = []
+                    cell = own
+                    held.append(row)
         if held:
             yield out()
 
-    return dealt.mapInArrow(find, "a long, b long")
+    return dealt.mapInArrow(tidy(find), "a long, b long")
 
 
 def similar_pairs(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -203,7 +207,7 @@ def similar_pairs(docs: DataFrame, size: int = SHINGLE, least: float = LEAST) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own, pa.binary())], ["node", "shingles"])
 
     met = docs.select("node", "text").join(few(clusters), "node", "left_semi")
-    shingles = met.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+    shingles = met.mapInArrow(tidy(sets), "node long, shingles binary").dropDuplicates(["node"])
     n = cut(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("blocks")))
     members = shingles.join(signed.select("node", "signature"), "node").join(clusters, "node").join(few(n), "cluster")
     members = cut(members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))

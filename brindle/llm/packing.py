@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.base import cut, slices, texts_of
+from brindle.llm.base import SLICE_BYTES, cut, release, slices, texts_of
 from brindle.llm.tokens import default_path, token_ids
 
 CAPACITY = 2048
@@ -247,14 +247,17 @@ def pack_lengths(items: DataFrame, capacity: int = CAPACITY, shard_items: int =
 # --- documents ---------------------------------------------------------------
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document: longer ones are cut so that only the first piece may be shorter."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", at_once: int = SLICE_BYTES) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every document: longer ones are cut so that only the first piece may be shorter.
+
+    at_once: bytes of text that a task encodes together; fewer take less memory and more time, and the result is the same.
+    """
     vocabulary = tokenizer or default_path()
 
     @F.arrow_udf("array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>")
     def cut_up(texts: pa.Array) -> pa.Array:
         texts, rows, sizes = texts_of(texts), [], []
-        for a, b in slices(texts):
+        for a, b in slices(texts, at_once):
             ids, lengths = token_ids(texts.slice(a, b - a), vocabulary)
             ids, at = ids.astype("<u4"), 0
             for n in lengths.tolist():
@@ -266,19 +269,20 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         columns = list(zip(*rows, strict=True)) or [()] * 4
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
         struct = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["piece", "start", "length", "ids_crc32"])
+        release()
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), struct)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.inline(cut_up(F.col(text_col))))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", at_once: int = SLICE_BYTES) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every document is packed whole (a null text is the end id alone), repeated rows as often as they occur, and null ids like others.
     Very long texts are cut into as many pieces as they need. Pieces of equal length take their places by number. Other columns play no
-    part. Empty input gives no rows.
+    part. Empty input gives no rows. at_once is that of pieces().
     """
-    found = cut(pieces(docs, capacity, tokenizer, id_col, text_col).withColumn("item", F.monotonically_increasing_id()))
+    found = cut(pieces(docs, capacity, tokenizer, id_col, text_col, at_once).withColumn("item", F.monotonically_increasing_id()))
     packed = cut(pack_lengths(found.filter(F.col("length") < capacity).select("item", "length"), capacity))
     poor = F.col("fill") < POOR * capacity
     again = pack_lengths(packed.filter(poor).select("item", "length"), capacity, seed=11)

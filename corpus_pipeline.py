@@ -14,6 +14,9 @@ from brindle.llm.base import new_path, table
 #: No source is passed over more often than this, and every source at least once.
 REPETITION_LIMIT = 1.5
 
+#: Bytes of text encoded together by a task: fewer than when packing runs alone, as executors hold memory of earlier stages.
+ENCODED_AT_ONCE = 1 << 20
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go: their language can't be told."""
@@ -37,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their sequence and offset."""
-    return packing.pack(docs)
+    return packing.pack(docs, at_once=ENCODED_AT_ONCE)
 
 
 STAGES = [

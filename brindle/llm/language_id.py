@@ -104,7 +104,7 @@ def gram_counts(rows: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SHARE, relative: float = RELATIVE) -> LanguageModel:
     """Learn from all rows with a language. At most 1 / least numbers per language reach the driver, one language at a time."""
-    counts = gram_counts(rows, text_col, lang_col)
+    counts = cut(gram_counts(rows, text_col, lang_col))  # asked three times below
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     share = counts.join(totals, "lang").withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= least)
     most = share.groupBy("gram").agg(F.max("share").alias("most"))

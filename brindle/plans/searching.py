@@ -76,9 +76,11 @@ def stand_in_vectors(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.transform(vector, lambda x: F.round(x, 9)).alias("vector"))
 
 
-_MEANING = """meaning AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS place FROM
+def _meaning(asked: str) -> str:
+    """The nearest 30 of all vectors to each of the rows that are asked."""
+    return f"""meaning AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS place FROM
 (SELECT q.vec_id AS question, v.vec_id AS id, round(list_sum(list_transform(range(1, 65), lambda i: v.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)), 6) AS score
-FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE place <= 30)"""
+FROM embeddings v, ({asked}) q)) WHERE place <= 30)"""
 
 
 def _vector_questions(spark, d):
@@ -86,29 +88,26 @@ def _vector_questions(spark, d):
     return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector"))
 
 
-@query("T08_by_meaning", f"WITH {_MEANING} SELECT question, id, score, place FROM meaning")
+@query("T08_by_meaning", f"WITH {_meaning('SELECT * FROM embeddings WHERE vec_id % 100 = 0')} SELECT question, id, score, place FROM meaning")
 def by_meaning(spark, d):
     return search.by_meaning(table(spark, d, "embeddings"), _vector_questions(spark, d))
 
 
 @query(
     "T09_rank_fusion",
-    f"""{_BM25}, vectors AS (SELECT item_id AS question, vec_id AS id, row_number() OVER (PARTITION BY item_id ORDER BY (vec_id * 7919 + item_id * 31) % 1009, vec_id) AS place FROM benchmark, embeddings),
+    f"""{_BM25}, {_meaning("SELECT embeddings.* FROM embeddings JOIN benchmark ON vec_id = item_id")},
     fused AS (SELECT coalesce(w.question, m.question) AS question, coalesce(w.id, m.id) AS id, w.place AS wp, m.place AS mp,
       coalesce(1 / (60 + w.place)::DOUBLE, 0) + coalesce(1 / (60 + m.place)::DOUBLE, 0) AS f
-      FROM words w FULL JOIN (SELECT * FROM vectors WHERE place <= 30) m ON w.question = m.question AND w.id = m.id)
+      FROM words w FULL JOIN meaning m ON w.question = m.question AND w.id = m.id)
     SELECT question, id, round(f * 1000, 2) AS score, CASE WHEN wp IS NOT NULL AND mp IS NOT NULL THEN 'both' WHEN wp IS NOT NULL THEN 'words' ELSE 'meaning' END AS matched_by, place
     FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(f, 12) DESC, wp IS NULL, coalesce(wp, mp), id) AS place FROM fused) WHERE place <= 6""",
 )
 def rank_fusion(spark, d):
-    """The BM25 ranking fused with a second one; a made-up order of the vectors stands for the ranking of a model."""
-    from pyspark.sql import Window
-
+    """The BM25 ranking of each benchmark text fused with the ranking by meaning of the vector that has its number."""
     words = search.bm25(table(spark, d, "documents"), _questions(spark, d))
-    items = table(spark, d, "benchmark").agg(F.collect_list("item_id").alias("items"))
-    pairs = table(spark, d, "embeddings").select(F.col("vec_id").alias("id")).join(F.broadcast(items)).select("id", F.explode("items").alias("question"))
-    order = Window.partitionBy("question").orderBy((F.col("id") * 7919 + F.col("question") * 31) % 1009, "id")
-    meaning = pairs.withColumn("place", F.row_number().over(order)).where("place <= 30")
+    embeddings = table(spark, d, "embeddings")
+    asked = embeddings.join(table(spark, d, "benchmark"), F.col("vec_id") == F.col("item_id")).select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector"))
+    meaning = search.by_meaning(embeddings, asked).select("question", "id", "place")
     return search.fuse(words, meaning)
 
 

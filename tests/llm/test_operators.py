@@ -243,6 +243,11 @@ def test_packing(spark, odd, none, docs):
         assert len(places) <= max(-(-total // 2048) + 1, packing.least_bins([r.length for r in found], 2048) + 1)
 
 
+def test_pieces_do_not_depend_on_what_is_encoded_at_once(docs):
+    whole, small = (sorted(rows(packing.pieces(docs, at_once=n)), key=str) for n in (1 << 22, 1))
+    assert whole == small and whole
+
+
 def test_genetic_packing_beats_best_fit():
     """Where best fit by falling length misses the lower bound, crossover finds fewer bins than any packing it began with."""
     better = 0

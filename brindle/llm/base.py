@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import string
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,6 +68,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lowered(text: F.Column) -> F.Column:
+    """A text with A-Z in lower case, and nothing else changed.
+
+    lower() does the same, and quicker, unless there is a capital beyond ASCII.
+    """
+    other_capital = text.rlike(r"[\p{IsUppercase}\p{Lt}&&[^\x00-\x7F]]")
+    return F.when(other_capital, F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(text))
+
+
 def texts_of(array: pa.Array) -> pa.Array:
     """Nulls become empty texts."""
     array = array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import exact_dedup, language_id, license_scan, lm_scoring, minhash, mixing, packing, simhash, token_files, url_filter
+from brindle.llm import decontamination, exact_dedup, language_id, lexical_search, license_scan, lm_scoring, minhash, mixing, packing, simhash, spelling, token_files, url_filter
 from brindle.llm.base import table
 
 QUERIES: dict = {}
@@ -71,3 +71,18 @@ def op9(spark, sf_dir):
 @query("op10_exact_dedup", exact_dedup.SQL)
 def op10(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op11_decontamination", decontamination.SQL)
+def op11(spark, sf_dir):
+    return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_spelling_variants")
+def op12(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_lexical_search", lexical_search.SQL)
+def op13(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.catalog import table
 from brindle.functions.values import MEMORY_STOP_WORDS
-from brindle.operators import blocks, charts, memories
+from brindle.operators import blocks, edits, charts, memories
 from brindle.plans.book import Book
 from brindle.sources import files, sheets
 from brindle.streaming import streams
@@ -104,6 +104,48 @@ def contents(spark, d):
     return blocks.outline(markdown_blocks(spark, d))
 
 
+_LINES = "(SELECT doc_id, i, a[i + 1] AS text, len(a) AS n FROM (SELECT doc_id, a, unnest(range(len(a))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)))"
+
+
+def _line_blocks(spark, d):
+    """Documents as blocks: each line one, every seventh a heading."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("position", "text"))
+    head = F.col("position") % 7 == 0
+    return lines.withColumns({"type": F.when(head, "heading").otherwise("text"), "level": F.when(head, 1).otherwise(0)})
+
+
+def _same_edits(spark, d, **columns):
+    """The same edits for each document, given as columns of a list each."""
+    n = len(columns["op"])
+    each = F.array(*[F.struct(F.lit(i).alias("seq"), *[(F.array(*map(F.lit, v[i])).cast("array<int>") if isinstance(v[i], list) else F.lit(v[i])).alias(c) for c, v in columns.items()]) for i in range(n)])
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.inline(each))
+
+
+@query(
+    "D06_replace_section",
+    f"""WITH l AS {_LINES}, kept AS (SELECT doc_id, i AS a, 0 AS b, CASE WHEN i % 7 = 0 THEN 'heading' ELSE 'text' END AS type, text FROM l WHERE i % 7 = 0 OR i > 14
+      UNION ALL SELECT DISTINCT doc_id, 0, 1, 'text', 'Rewritten' FROM l UNION ALL SELECT DISTINCT doc_id, 0, 2, 'list', 'point' FROM l UNION ALL SELECT doc_id, 7, 1, 'text', 'Short' FROM l WHERE i = 7)
+    SELECT doc_id AS id, (row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1)::INT AS position, type, text FROM kept""",
+)
+def replace_section(spark, d):
+    """The first two sections of each document written anew; the third edit isn't at a heading."""
+    given = _same_edits(spark, d, op=["replace_section"] * 3, blocks=[[0], [7], [8]], text=["Rewritten\n- point", "Short", "never"])
+    return edits.blocks_of(edits.edit_documents(_line_blocks(spark, d), given)).select("id", "position", "type", "text")
+
+
+@query(
+    "D05_edit_log",
+    f"""WITH l AS {_LINES}, d AS (SELECT doc_id, max(n) AS n, sum((length(text) - length(replace(text, 'the', ''))) // 3) FILTER (i = 0 OR i > 2) AS found FROM l GROUP BY doc_id)
+    SELECT doc_id AS id, seq::INT AS seq, said IN ('1', '2') OR (seq = 4 AND found > 0) AS applied, said FROM (SELECT *, CASE seq
+      WHEN 0 THEN CASE WHEN n > 2 THEN '2' ELSE 'no such block' END WHEN 1 THEN CASE WHEN n > 2 THEN 'removed before' WHEN n = 2 THEN '1' ELSE 'no such block' END
+      WHEN 2 THEN '2' WHEN 3 THEN 'no such operation' WHEN 4 THEN CASE WHEN found > 0 THEN found::BIGINT::VARCHAR ELSE 'not found' END ELSE 'no such table' END AS said
+      FROM d, unnest(range(6)) AS t(seq))""",
+)
+def edit_log(spark, d):
+    given = _same_edits(spark, d, op=["delete", "replace_text", "insert", "paint", "find_replace", "delete_row"], blocks=[[1, 2], [1], [0], [0], [], []], text=[None, "again", "a\nb", None, None, None], find=[None, None, None, None, "the", None], put=[None, None, None, None, "THE", None], match_case=[None, None, None, None, True, None], row=[None, None, None, None, None, 1])
+    return edits.log_of(edits.edit_documents(_line_blocks(spark, d), given)).select("id", "seq", "applied", "said")
+
+
 @query("D03_filled", "SELECT s_suppkey, 'Dear ' || s_name || ', your balance is ' || s_acctbal::BIGINT || ' {{unknown}}' AS letter FROM (SELECT s_suppkey, s_name, trunc(s_acctbal) AS s_acctbal FROM supplier)")
 def filled(spark, d):
     given = F.create_map(F.lit("name"), F.col("s_name"), F.lit("balance"), F.col("s_acctbal").cast("long").cast("string"))

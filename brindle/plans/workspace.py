@@ -113,7 +113,7 @@ def pages_read(spark, d):
 
 @query("I13_balance_notes", f"SELECT file, printf('Taxable value %.2f + tax %.2f = %.2f, but the total is %.2f: another charge, or a misread figure', net, t, net + t, total) AS note FROM (SELECT *, CASE WHEN k % 7 = 0 THEN 2 * tax ELSE tax END AS t, net + tax + CASE WHEN k % 5 = 0 THEN 100 ELSE 0 END AS total, NOT (k % 7 = 0 AND abs(tax - CASE WHEN k % 5 = 0 THEN 100 ELSE 0 END) <= 1.01) AND k % 7 = 0 AND k % 5 <> 0 AND tax > 0 AS one FROM {invoicing._KEPT}) WHERE t > 0 AND NOT one AND abs(net + t - total) > 1.01")
 def balance_notes(spark, d):
-    rows = invoice.balance(invoice.taxes(invoice.apart(invoice.total(invoice.texts(invoicing.records(spark, d))))))
+    rows = invoice.balance(invoice.taxes(invoice.total(invoice.texts(invoicing.records(spark, d)))))
     noted = invoice.balance_note(invoice.apart(rows)).where("TotalTaxAmount <> ''")
     return noted.select("file", F.explode(F.map_values("notes")).alias("note")).distinct()
 

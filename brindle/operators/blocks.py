@@ -123,11 +123,20 @@ def snake(c: Column) -> Column:
 def slot_fields(labels: DataFrame) -> DataFrame:
     """The single fields of a slot map: (doc, position, name). labels: (doc, position, role, name, group, instance).
 
-    A name that comes again gets a number: name, name_2, name_3. Fields without a name are no fields.
+    In reading order a name that is taken gets the first number from 2 on that makes it free: a, a, a_2 become a, a_2, a_2_2. Whether it
+    is depends on all names before, so a document's names are folded, with a map of those in use. Fields without a name are no fields.
     """
     named = labels.where("role = 'field'").select("doc", "position", snake(F.col("name")).alias("base")).where("base <> ''")
-    number = F.row_number().over(Window.partitionBy("doc", "base").orderBy("position"))
-    return named.select("doc", "position", F.when(number == 1, F.col("base")).otherwise(F.concat_ws("_", "base", number)).alias("name"))
+    rows = named.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("position", "base"))).alias("fields"))
+
+    def free(used, base):
+        """The first number that is free: among one more than the names in use there is one."""
+        numbered = F.transform(F.sequence(F.lit(2), F.size(used) + 2), lambda n: F.concat_ws("_", base, n))
+        return F.when(F.array_contains(used, base), F.element_at(F.array_except(numbered, used), 1)).otherwise(base)
+
+    names = F.aggregate("fields", F.array().cast("array<string>"), lambda used, x: F.concat(used, F.array(free(used, x["base"]))))
+    both = rows.select("doc", F.inline(F.arrays_zip("fields", names.alias("name"))))
+    return both.select("doc", "fields.position", "name")
 
 
 def slot_groups(labels: DataFrame) -> DataFrame:

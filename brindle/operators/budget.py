@@ -88,29 +88,10 @@ def choose_files(files: Column, budget: Column) -> Column:
 
 
 def fit_turns(messages: DataFrame, limit: int) -> DataFrame:
-    """C04 for histories without tools: (conv_id, turn, role, text) to what is sent, in at most about `limit` tokens.
+    """(conv_id, turn, role, text) of what is sent of each conversation, in at most about `limit` tokens: see histories.fit()."""
+    from brindle.operators import histories
 
-    A conversation that fits stays as it is. Else the system messages before the first user turn and the last question with what follows
-    it stay, and the newest messages in between as far as there is room; what is sent begins with the user. A message that is longer
-    than the limit by itself keeps its start and end. Running sums from the newest turn back tell what fits, so a conversation of any
-    length is no object in memory.
-    """
-    from brindle.functions.values import cut_middle
-
-    by_conv = Window.partitionBy("conv_id")
-    user = F.when(F.col("role") == "user", F.col("turn"))
-    marked = messages.withColumns({"asked": F.max(user).over(by_conv), "begins": F.min(user).over(by_conv), "tokens": message_tokens(F.col("text"))})
-    head = F.coalesce((F.col("role") == "system") & (F.col("turn") < F.col("begins")), F.lit(False))
-    current = F.coalesce(F.col("turn") >= F.col("asked"), F.lit(True))
-    marked = marked.withColumns({"head": head, "current": current}).withColumn("all_tokens", F.sum("tokens").over(by_conv))
-    fixed = F.sum(F.when(F.col("head"), F.col("tokens")).otherwise(F.lit(0))).over(by_conv)
-    back = by_conv.orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumns({"used": F.sum(F.when(F.col("head"), F.lit(0)).otherwise(F.col("tokens"))).over(back) + fixed})
-    fits = F.col("all_tokens") <= limit
-    kept = marked.where(fits | F.col("head") | F.col("current") | (F.col("used") <= limit))
-    first = F.min(F.when(F.col("role") == "user", F.col("turn"))).over(by_conv)
-    kept = kept.withColumn("first", first).where(fits | F.col("head") | F.col("first").isNull() | (F.col("turn") >= F.col("first")))
-    return kept.select("conv_id", "turn", "role", cut_middle(F.col("text"), F.lit(limit), F.col("tokens")).alias("text"))
+    return histories.fit(messages, limit).select("conv_id", "turn", "role", "text")
 
 
 def summarised(parts: DataFrame, note, combine, limit: int, group_tokens: int, rounds: int = 3) -> DataFrame:

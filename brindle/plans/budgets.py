@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.catalog import table
-from brindle.operators import budget, routing
+from brindle.operators import budget, histories, routing
 from brindle.plans.book import Book
 
 BOOK = Book()
@@ -87,7 +87,7 @@ def fair_shares(spark, d):
 
 @query("C04_fit_turns")
 def fit_turns(spark, d):
-    return budget.fit_turns(table(spark, d, "conversations"), 600)
+    return histories.fit(table(spark, d, "conversations"), 600)
 
 
 @query(

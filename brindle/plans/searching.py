@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from brindle.catalog import table
 from brindle.functions import values
-from brindle.operators import chunk, corpus, search
+from brindle.operators import chunk, corpus, search, stored_index
 from brindle.plans.book import Book
+from brindle.sources import stores
 
 BOOK = Book()
 query = BOOK.query
@@ -20,6 +23,14 @@ def _questions(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("question"), "text")
 
 
+def _index(spark, d, *updates) -> str:
+    """A new index in the shared folder: of all documents, or made by updates (documents, ids to remove), one after another."""
+    path = f"{stores.shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    for docs, removed in updates or [(table(spark, d, "documents"), None)]:
+        stored_index.update(spark, path, docs, removed, "doc_id")
+    return path
+
+
 _KEYWORDS = rf"""SELECT item_id, CASE WHEN len(kept) > 0 THEN kept ELSE w END AS k FROM (SELECT item_id, w, list_filter(w, lambda x: x NOT IN ({_STOP})) AS kept
     FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM benchmark))"""
 
@@ -42,7 +53,20 @@ def keywords(spark, d):
 
 @query("T05_bm25", f"{_BM25} SELECT question, id, score, place FROM words")
 def bm25(spark, d):
-    return search.bm25(table(spark, d, "documents"), _questions(spark, d))
+    return stored_index.search(spark, _index(spark, d), _questions(spark, d))
+
+
+_UPDATED = "(SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN 'revised: ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3)"
+
+
+@query("T11_index_updates", _BM25.replace("FROM documents", f"FROM {_UPDATED}") + "SELECT question, id, score, place FROM words")
+def index_updates(spark, d):
+    """The ranking after an add, a replacement of every fifth document, and a removal of every seventh: that of the documents as they are then."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    revised = docs.where("doc_id % 5 = 2").withColumn("text", F.concat(F.lit("revised: "), F.coalesce("text", F.lit(""))))
+    gone = docs.where("doc_id % 7 = 3").select(F.col("doc_id").alias("id"))
+    path = _index(spark, d, (docs.where("doc_id % 3 = 0"), None), (docs, None), (revised.where("doc_id % 7 <> 3"), gone))
+    return stored_index.search(spark, path, _questions(spark, d))
 
 
 @query(
@@ -103,7 +127,7 @@ def by_meaning(spark, d):
 )
 def rank_fusion(spark, d):
     """The BM25 ranking of each benchmark text fused with the ranking by meaning of the vector that has its number."""
-    words = search.bm25(table(spark, d, "documents"), _questions(spark, d))
+    words = stored_index.search(spark, _index(spark, d), _questions(spark, d))
     embeddings = table(spark, d, "embeddings")
     asked = embeddings.join(table(spark, d, "benchmark"), F.col("vec_id") == F.col("item_id")).select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector"))
     meaning = search.by_meaning(embeddings, asked).select("question", "id", "place")

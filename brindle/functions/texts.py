@@ -56,9 +56,10 @@ def quoted(c: Column) -> Column:
     """straight quotes made curly, a hyphen between spaced words made a dash; a text that has curly ones stays as it is."""
     side = lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.when(i % 2 == 1, "“").otherwise("”"), x))
     doubled = F.array_join(F.transform(F.split(c, '"'), side), "")
-    inner = F.regexp_replace(doubled, r"(?U)(\w)'(\w)", "$1’$2")
-    single = F.regexp_replace(inner, r"(?U)(?<!\w)'(\S[^']*?\S)'(?!\w)", "‘$1’")
-    return F.when(c.rlike(CURLY), c).otherwise(F.regexp_replace(single, r"(?U)(?<=\w) - (?=\w)", " — "))
+    mark = r"[\p{L}\p{N}_]"  # what a word is made of
+    within = F.regexp_replace(doubled, f"(?<={mark})'(?={mark})", "’")
+    phrases = F.regexp_replace(within, rf"(^|(?!{mark})[^'])'([^'\s]|[^'\s][^']*[^'\s])'(?!{mark})", "$1‘$2’")
+    return F.when(c.rlike(CURLY), c).otherwise(F.regexp_replace(phrases, f"({mark}) - (?={mark})", "$1 — "))
 
 
 def title_slug(c: Column, most: int = 72) -> Column:
@@ -67,9 +68,13 @@ def title_slug(c: Column, most: int = 72) -> Column:
     return F.left(F.when(words == "", "document").otherwise(words), F.lit(most))
 
 
+#: Fixed value: characters that file systems refuse in names, and those that end a line or a cell.
+REFUSED = '\\/:*?"<>|\r\n\t'
+
+
 def file_name(c: Column, most: int = 90) -> Column:
     """a title as a readable file name: only what file systems refuse goes."""
-    bare = F.translate(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r'[\\/:*?"<>|\r\n\t]+', " "), "⁄", "-")
+    bare = F.translate(F.coalesce(c, F.lit("")), REFUSED + "⁄", " " * len(REFUSED) + "-")
     tidy = F.trim(F.regexp_replace(bare, r"\s{2,}", " "), F.lit(" .-"))
     return F.trim(F.left(F.when(tidy == "", "Document").otherwise(tidy), F.lit(most)), F.lit(" .-"))
 

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.sources import stores
+
 PER_MESSAGE, PER_IMAGE = 8, 800
 LEAST_ANSWER, MOST_ANSWER = 1024, 4096
 
@@ -94,26 +96,73 @@ def fit_turns(messages: DataFrame, limit: int) -> DataFrame:
     return histories.fit(messages, limit).select("conv_id", "turn", "role", "text")
 
 
-def summarised(parts: DataFrame, note, combine, limit: int, group_tokens: int, rounds: int = 3) -> DataFrame:
+def running(rows: DataFrame, group: str, order: str, cost: str, width: int = 1024) -> DataFrame:
+    """rows with `upto`, the running sum of cost by an integer order within each group, and `total`, the group's sum.
+
+    Sums are taken of ranges of the order first; only these, one row for so many, are walked through group by group, and rows range by range.
+    """
+    ranged = rows.withColumn("_range", F.floor(F.col(order) / width))
+    sums = ranged.groupBy(group, "_range").agg(F.sum(cost).alias("_sum"))
+    by_group = Window.partitionBy(group)
+    before = F.sum("_sum").over(by_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(group, "_range", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_sum").over(by_group).alias("total"))
+    within = F.sum(cost).over(Window.partitionBy(group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.join(sums, [group, "_range"]).withColumn("upto", F.col("_before") + within).drop("_range", "_before")
+
+
+def _mapped(f):
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(f)
+
+    return run
+
+
+def _kept(rows: DataFrame, f, cache: str, model: str, size: int, blocks: int) -> DataFrame:
+    """rows with their text replaced by f's result, out of a table by content: what is there isn't worked out again.
+
+    The key is the hash of model, size and text. What is missing is worked out once per text, in blocks that are stored one by one, so
+    that a run that is killed goes on where it was.
+    """
+    spark = rows.sparkSession
+    keyed = rows.withColumn("_key", F.sha2(F.concat_ws("|", F.lit(model), F.lit(size), F.coalesce("text", F.lit(""))), 256))
+    missing = keyed.select("_key", "text").dropDuplicates(["_key"])
+    if stores.folders(spark, cache):
+        missing = missing.join(stores.read(spark, cache).select("_key"), "_key", "left_anti")
+    for block in range(0 if missing.isEmpty() else blocks):
+        folder = stores.new_folder(cache)
+        missing.where(F.pmod(F.xxhash64("_key"), F.lit(blocks)) == block).select("_key", _mapped(f)("text").alias("made")).write.parquet(folder)
+        stores.point(spark, cache, [*stores.folders(spark, cache), folder])
+    if not stores.folders(spark, cache):
+        return rows
+    return keyed.join(stores.read(spark, cache), "_key").withColumn("text", F.col("made")).drop("_key", "made")
+
+
+def summarised(parts: DataFrame, note, combine, limit: int, group_tokens: int, rounds: int = 3, cache: str | None = None, model: str = "", blocks: int = 8) -> DataFrame:
     """Notes of the parts of files (name, part, text), combined group by group until a file's notes fit the limit.
 
-    note and combine are callables on one text each, run in Arrow batches; rounds are jobs, not rows, on the driver.
+    note and combine are callables on one text each, run in Arrow batches; rounds are jobs, not rows, on the driver. With the path of a
+    cache, results are kept there by model, group size and text, and are not worked out twice, nor again after a run was killed.
     """
 
-    def mapped(f):
-        @F.pandas_udf("string")
-        def run(texts: pd.Series) -> pd.Series:
-            return texts.map(f)
+    spark = parts.sparkSession
 
-        return run
+    def made(rows: DataFrame, f, what: str) -> DataFrame:
+        """A round's results, stored, as the next round reads them twice."""
+        found = rows.withColumn("text", _mapped(f)("text")) if cache is None else _kept(rows, f, cache, f"{model}|{what}", group_tokens, blocks)
+        folder = stores.new_folder(f"{stores.shared_dir(spark)}/notes")
+        found.write.parquet(folder)
+        return spark.read.parquet(folder)
 
-    notes = parts.select("name", F.col("part").cast("long").alias("part"), mapped(note)(F.col("text")).alias("text"))
+    notes = made(parts.select("name", F.col("part").cast("long").alias("part"), "text"), note, "note")
     for _ in range(rounds):
-        cost = estimate(F.col("text"))
-        whole, upto = Window.partitionBy("name"), Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-        sized = notes.withColumns({"total": F.sum(cost).over(whole), "group": F.floor((F.sum(cost).over(upto) - 1) / group_tokens)})
-        done, todo = sized.where(F.col("total") <= limit).select("name", "part", "text"), sized.where(F.col("total") > limit)
+        sized = running(notes.withColumn("cost", estimate(F.col("text"))).select("name", "part", "cost"), "name", "part", "cost")
+        group = F.floor((F.col("upto") - 1) / group_tokens)
+        dealt = notes.join(sized.select("name", "part", "total", group.alias("group")), ["name", "part"])
+        done, todo = dealt.where(F.col("total") <= limit).select("name", "part", "text"), dealt.where(F.col("total") > limit)
+        if todo.isEmpty():
+            break
         lines = F.array_sort(F.collect_list(F.struct("part", "text")))
         joined = todo.groupBy("name", "group").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n\n").alias("text"))
-        notes = done.unionByName(joined.select("name", F.col("group").cast("long").alias("part"), mapped(combine)(F.col("text")).alias("text")))
+        notes = done.unionByName(made(joined.select("name", F.col("group").cast("long").alias("part"), "text"), combine, "combine"))
     return notes

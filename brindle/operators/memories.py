@@ -34,7 +34,10 @@ def forgetting(store: DataFrame, requests: DataFrame) -> DataFrame:
 
     The best match goes unless another is within 0.15 while it has under 0.75, two are equal, or it has under 0.5 and isn't the only one.
     """
-    scored = store.join(requests, "scope").withColumn("score", match_score(F.col("text"), F.col("wanted"))).where("score > 0")
+    # match_score() of the pairs that share a stem; the others score nothing.
+    wanted = requests.select("request", "scope", F.size(stems(F.col("wanted"))).alias("stems"), F.explode(F.array_distinct(stems(F.col("wanted")))).alias("stem"))
+    held = store.select("scope", "id", F.explode(F.array_distinct(stems(F.col("text")))).alias("stem"))
+    scored = held.join(wanted, ["scope", "stem"]).groupBy("request", "id").agg((F.count("*") / F.first("stems")).alias("score"))
     order = Window.partitionBy("request").orderBy(F.desc("score"), "id")
     every = Window.partitionBy("request")
     ranked = scored.withColumns({"place": F.row_number().over(order), "rival": F.lead("score").over(order), "n": F.count("*").over(every)}).where("place = 1")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from brindle.operators import blocks, budget, histories, routing
+from brindle.operators import blocks, budget, histories, memories, routing
 
 
 def plain_tokens(text):
@@ -106,3 +106,19 @@ def test_slot_names_are_unique(spark):
         used.add(name)
         want.append(name)
     assert got == want
+
+
+def test_forgetting_scores_pairs_that_share_a_stem(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").where("role = 'user'")
+    store = rows.select((F.col("conv_id") % 3).alias("scope"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    asked = store.where("id % 7 < 3").select(F.col("id").alias("request"), "scope", F.left("text", F.lit(14)).alias("wanted"))
+    pairs = store.join(asked, "scope").select("request", "id", memories.match_score(F.col("text"), F.col("wanted")).alias("score")).where("score > 0").collect()
+    want = {r.request: ("none", None) for r in asked.collect()}
+    for request in want:
+        found = sorted((-p.score, p.id) for p in pairs if p.request == request)
+        if found:
+            (best, own), rival = (-found[0][0], found[0][1]), -found[1][0] if len(found) > 1 else None
+            close = rival is not None and (rival == best or (rival >= best - 0.15 and best < 0.75))
+            want[request] = ("ask", None) if close or (best < 0.5 and len(found) > 1) else ("remove", own)
+    got = {r.request: (r.decision, r.id) for r in memories.forgetting(store, asked).collect()}
+    assert got == want and len({d for d, _ in want.values()}) > 1

@@ -85,7 +85,7 @@ def raw_xlsx(spark: SparkSession, path: str) -> DataFrame:
                         for k, row in enumerate(ElementTree.fromstring(z.read(part)).iter(f"{space}row")):
                             cells: list = []
                             for c in row.iter(f"{space}c"):
-                                at, v = column(c.get("r", "")), c.find(f"{space}v")
+                                at, v = column(c.get("r")) if c.get("r") else len(cells), c.find(f"{space}v")
                                 value = v.text if v is not None else "".join(t.text or "" for t in c.iter(f"{space}t"))
                                 value = shared[int(value)] if c.get("t") == "s" else value
                                 cells += [None] * (at + 1 - len(cells))

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How a blank is marked; double braces go first.
-PLACEHOLDER = r"\{\{\s*([^{}\n]{1,60}?)\s*\}\}|\[\s*([^\[\]\n]{1,60}?)\s*\]|<<\s*([^<>\n]{1,60}?)\s*>>|\{\s*([^{}\n]{1,60}?)\s*\}|(_{4,}|\.{6,})"
-
 
 def markdown_blocks(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, position, type, level, text) of each line of a Markdown text that isn't blank: heading, list, quote, rule, table,
@@ -25,14 +22,6 @@ def markdown_blocks(docs: DataFrame, id_col: str, text_col: str = "text") -> Dat
     return lines.where(~F.col("fence") & (F.trim("line") != "")).select("id", "position", kind.alias("type"), level.alias("level"), bare.alias("text"))
 
 
-def blanks(blocks: DataFrame) -> DataFrame:
-    """(id, position, n, label) of the placeholders of blocks; those with figures only are citations and left out."""
-    whole = F.regexp_extract_all("text", F.lit(PLACEHOLDER), F.lit(0))
-    found = blocks.select("id", "position", F.posexplode(whole).alias("n", "mark"))
-    label = F.trim(F.regexp_replace("mark", r"^[\[{<\s]+|[\]}>\s]+$", ""))
-    return found.withColumn("label", F.when(F.col("mark").rlike(r"^[_.]+$"), F.lit("")).otherwise(label)).where(~F.col("label").rlike(r"^[\d,\s]+$")).select("id", "position", "n", "label")
-
-
 def fill(text: Column, given: Column) -> Column:
     """A text with {{name}} marks replaced by the values of a map; unknown names stay."""
     names = F.map_keys(given)
@@ -87,7 +76,7 @@ def without_empty_pages(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("_before", before).where((F.col("type") != "page_break") | F.coalesce(F.col("_before") != "page_break", F.lit(False))).drop("_before")
 
 
-def cell_labels(cells: DataFrame) -> DataFrame:
+def cell_labels(cells: DataFrame, only_empty: bool = True) -> DataFrame:
     """What the empty cells of tables (doc, table, row, col, text; counted from 1) are for: (doc, table, row, col, label).
 
     A cell on the left that ends with a colon settles it. In a grid of three columns or more with a full heading row it is the row's first
@@ -112,7 +101,7 @@ def cell_labels(cells: DataFrame) -> DataFrame:
     head = F.when((F.col("row") > 1) & (F.col("columns") > 1) & F.col("full"), short("head", 40)).otherwise("")
     grid = (head != "") & (F.col("columns") > 2) & ~F.endswith("left", F.lit(":"))
     label = F.when(grid, F.when(name != "", F.concat(name, F.lit(" - "), head)).otherwise(F.concat(head, F.lit(" (row "), F.col("row") - 1, F.lit(")")))).when(left != "", left).otherwise(head)
-    return marked.where("t = ''").select("doc", "table", "row", "col", label.alias("label"))
+    return marked.where("t = ''" if only_empty else "true").select("doc", "table", "row", "col", label.alias("label"))
 
 
 def snake(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.catalog import table
 from brindle.functions.values import MEMORY_STOP_WORDS
-from brindle.operators import blocks, edits, charts, memories
+from brindle.operators import blanks, blocks, edits, charts, memories
 from brindle.plans.book import Book
 from brindle.sources import files, sheets
 from brindle.streaming import streams
@@ -99,6 +99,22 @@ def markdown_blocks(spark, d):
     return blocks.markdown_blocks(table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id")
 
 
+_TEMPLATE = ("Dear {{customer_name}},", "Account of # is held by ____ and ______", "Due DD/MM/YYYY, see [1], [2, 3] and [Order No]", "Phone:", "Signed: {{x}} [customer name] {{Customer  Name}} ..... 7")
+
+
+@query(
+    "D01_blanks",
+    """SELECT c_custkey AS id, field, how, replace(label, '#', c_name) AS label, current, spots FROM customer, (VALUES
+      (1, 'placeholder', 'Customer name', '{{customer_name}}', 3), (2, 'blank', 'Account of # is held by', '____', 1), (3, 'blank', 'and', '______', 1), (4, 'sample', 'Due', 'DD/MM/YYYY', 1),
+      (5, 'placeholder', 'Order No', '[Order No]', 1), (6, 'label', 'Phone', '', 1), (7, 'placeholder', 'X', '{{x}}', 1)) AS t(field, how, label, current, spots)""",
+)
+def blanks_found(spark, d):
+    """A letter to each customer as five lines: a placeholder that comes three times, citations and dots before a number that are none."""
+    line = F.posexplode(F.array(*[F.replace(F.lit(x), F.lit("#"), F.col("c_name")) for x in _TEMPLATE])).alias("position", "text")
+    found = blanks.fields(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), line))
+    return found.select("id", "field", "how", "label", "current", F.size("spots").alias("spots"))
+
+
 @query("D12_contents")
 def contents(spark, d):
     return blocks.outline(markdown_blocks(spark, d))

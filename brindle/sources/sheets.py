@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.values import column_name, sheet_cell, sheet_date, sheet_number
+from brindle.sources import stores
 
 SCAN, TYPED = 30, 1000
 AGREE = 0.95
@@ -39,18 +40,115 @@ def delimiter(head: str) -> str:
     return max(counts, key=lambda m: (sum(n > 1 for n in counts[m]), sum(counts[m]))) if lines else ","
 
 
+def stays_open(line: str, mark: str, inside: bool) -> bool:
+    """Is a quoted cell open at the end of a line, if one was open (inside) or not at its start? A quote opens a cell only as its first character."""
+    if '"' not in line:
+        return inside
+    at = 0
+    while True:
+        if not inside:
+            if line[at : at + 1] == '"':
+                at += 1
+            else:
+                at = line.find(mark, at) + 1
+                if not at:
+                    return False
+                continue
+        close = line.find('"', at)
+        while close >= 0 and line[close + 1 : close + 2] == '"':  # a quote within the cell is written twice
+            close = line.find('"', close + 2)
+        if close < 0:
+            return True
+        inside, at = False, line.find(mark, close + 1) + 1
+        if not at:
+            return False
+
+
+#: Bytes that Windows' Latin code page leaves undefined: a file with one of them is read as Latin-1.
+UNDEFINED = frozenset(b"\x81\x8d\x8f\x90\x9d")
+
+
 def raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(position, cells array<string>) of a CSV or TSV file in its order, blank cells null."""
-    text = spark.read.format("binaryFile").load(path)
+    """(position, cells array<string>) of a CSV or TSV file, blank cells null; position is the record's place in the file, from 0.
 
-    def rows(batches):
+    The file is read in splits. A first pass tells for each split how many records start in it, and whether a quoted cell is open at its end,
+    both if one was open at its start and if not; and which encoding fits all of it. These few figures (one row for a split) give each split
+    where it starts. A record that goes over the end of a split is put together from its pieces. The head of 64 KB tells the delimiter.
+    """
+    fs, place = stores.opened(spark, path)
+    with_head = fs.open(place)
+    try:
+        head = bytes(with_head.readNBytes(65536))
+    finally:
+        with_head.close()
+    mark, end = delimiter(head.decode("utf-8-sig", "replace")), "\n" if b"\n" in head or b"\r" not in head else "\r"
+    lines = spark.read.option("lineSep", end).text(path).select(F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("line"))
+
+    def figures(batches):
+        now = None
         for batch in batches:
-            for content in batch["content"]:
-                body = next(t for t in (_decoded(content, e) for e in ("utf-8-sig", "cp1252", "latin-1")) if t is not None)
-                cells = list(csv.reader(io.StringIO(body), delimiter=delimiter(body[:65536])))
-                yield pd.DataFrame({"position": range(len(cells)), "cells": [[c.strip() or None for c in r] for r in cells]})
+            for split, line in zip(batch["split"], batch["line"], strict=True):
+                if now is None or now[0] != split:
+                    if now:
+                        yield pd.DataFrame([now], columns=_FIGURES)
+                    now = [split, 0, 0, False, True, True, True]
+                text = line.decode("latin-1")
+                now[1] += not now[3]
+                now[2] += not now[4]
+                now[3], now[4] = stays_open(text, mark, now[3]), stays_open(text, mark, now[4])
+                now[5] = now[5] and (line.isascii() or _decoded(line, "utf-8") is not None)
+                now[6] = now[6] and (line.isascii() or UNDEFINED.isdisjoint(line))
+        if now:
+            yield pd.DataFrame([now], columns=_FIGURES)
+
+    found = sorted(lines.mapInPandas(figures, "split long, closed long, open long, from_closed boolean, from_open boolean, utf8 boolean, windows boolean").collect())
+    starts, before, inside = {}, 0, False
+    for f in found:
+        starts[f.split] = (before, inside)
+        before, inside = before + (f.open if inside else f.closed), f.from_open if inside else f.from_closed
+    encoding = "utf-8" if all(f.utf8 for f in found) else "cp1252" if all(f.windows for f in found) else "latin-1"
+    last = max(starts, default=0)
+
+    def records(batches):
+        """(position, split, is it whole, text): a record that began before its split, or isn't over at its end, is a piece."""
+        split, held, number, inside, whole = None, [], 0, False, True
+
+        def row(done):
+            return (number - 1, split, whole and done, end.join(held))
 
-    return text.select("content").mapInPandas(rows, "position long, cells array<string>")
+        for batch in batches:
+            out = []
+            for at, line in zip(batch["split"], batch["line"], strict=True):
+                if at != split:
+                    if held:
+                        out.append(row(not inside or split == last))
+                    split, held = at, []
+                    number, inside = starts[at]
+                    whole = not inside
+                text = line.decode(encoding).removeprefix("\ufeff" if at == 0 and number == 0 else "")
+                if not inside:
+                    if held:
+                        out.append(row(True))
+                        whole = True
+                    held, number = [], number + 1
+                held.append(text)
+                inside = stays_open(text, mark, inside)
+            yield pd.DataFrame(out, columns=["position", "split", "whole", "text"])
+        if held:
+            yield pd.DataFrame([row(not inside or split == last)], columns=["position", "split", "whole", "text"])
+
+    def cells(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [c.strip() or None for r in csv.reader(io.StringIO(t, newline=""), delimiter=mark) for c in r])
+
+    rows = lines.mapInPandas(records, "position long, split long, whole boolean, text string")
+    done = rows.where("whole").select("position", "text")
+    if any(inside for _, inside in starts.values()):
+        pieces = F.array_sort(F.collect_list(F.struct("split", "text")))
+        done = done.unionByName(rows.where("NOT whole").groupBy("position").agg(F.array_join(F.transform(pieces, lambda x: x["text"]), end).alias("text")))
+    return done.select("position", F.pandas_udf(cells, "array<string>")("text").alias("cells"))
+
+
+_FIGURES = ["split", "closed", "open", "from_closed", "from_open", "utf8", "windows"]
 
 
 def _decoded(content: bytes, encoding: str) -> str | None:

@@ -26,14 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or tempfile.mkdtemp(prefix="brindle-")).rstrip("/")
 
 
-def _fs(spark: SparkSession, path: str):
+def opened(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def folders(spark: SparkSession, path: str) -> list[str]:
     """The folders of a store's state; none of a store that isn't there yet."""
-    fs, place = _fs(spark, f"{path}/{POINTER}")
+    fs, place = opened(spark, f"{path}/{POINTER}")
     if not fs.exists(place):
         return []
     stream = fs.open(place)
@@ -50,7 +51,7 @@ def new_folder(path: str) -> str:
 def point(spark: SparkSession, path: str, to: list[str]) -> None:
     """Make these folders the store's state, in one rename."""
     draft = f"{path}/.{uuid.uuid4().hex}.tmp"
-    fs, place = _fs(spark, draft)
+    fs, place = opened(spark, draft)
     stream = fs.create(place, True)
     try:
         stream.write(bytearray(json.dumps(to), "utf-8"))
@@ -79,7 +80,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def sweep(spark: SparkSession, path: str) -> int:
     """Remove what no pointer names: (only) while nobody writes or reads an old state. Returns how many folders went."""
-    fs, place = _fs(spark, path)
+    fs, place = opened(spark, path)
     held, gone = {f.rsplit("/", 1)[-1] for f in folders(spark, path)}, 0
     for status in fs.listStatus(place):
         name = status.getPath().getName()

@@ -65,6 +65,8 @@ def jdbc_options(connection: Connection, query: str, timeout_s: int = 30) -> dic
         path = f" SET search_path TO {connection.schema};" if connection.schema else ""
         options["sessionInitStatement"] = f"SET default_transaction_read_only = on; SET statement_timeout = {timeout_s * 1000};{path}"
         options |= {"ssl": "true"} if connection.ssl else {}
+    if connection.engine == "sqlite":
+        options["open_mode"] = "1"  # the driver's read-only mode
     if connection.engine == "mysql":
         options["sessionInitStatement"] = "SET SESSION TRANSACTION READ ONLY"
         options |= {"useSSL": "true"} if connection.ssl else {}
@@ -76,6 +78,22 @@ def scan(spark: SparkSession, connection: Connection, query: str, timeout_s: int
     return spark.read.format("jdbc").options(**jdbc_options(connection, query, timeout_s)).load()
 
 
+def probe(spark: SparkSession, connection: Connection, timeout_s: int = 10) -> str | None:
+    """What keeps a connection from being used, or None: its settings are checked, then a table is listed or SELECT 1 is asked."""
+    found = connection.problems()
+    if found:
+        return "; ".join(found)
+    try:
+        if connection.engine == "parquet":
+            spark.read.parquet(f"{connection.path.rstrip('/')}/*.parquet").limit(1).count()
+        else:
+            scan(spark, connection, "SELECT 1 AS one", timeout_s).first()
+    except Exception as problem:  # noqa: BLE001 - whatever a driver raises is the answer
+        said = str(problem).splitlines()[0][:300]
+        return said.replace(connection.password, "***") if connection.password else said
+    return None
+
+
 def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES) -> list[str]:
     """Make the tables of a folder views of the session."""
     for name in names:

@@ -83,3 +83,13 @@ def test_connections():
     assert base.edited(host="other").password == ""
     assert catalog.Connection("x y", "oracle").problems()
     assert "read_only" in catalog.jdbc_options(base, "SELECT 1")["sessionInitStatement"]
+
+
+def test_probe(spark, tmp_path):
+    assert catalog.jdbc_options(catalog.Connection("s", "sqlite", path="/x.db"), "SELECT 1")["open_mode"] == "1"
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    assert catalog.probe(spark, catalog.Connection("p", "parquet", path=str(tmp_path))) is None
+    assert catalog.probe(spark, catalog.Connection("p", "parquet", path=str(tmp_path / "none")))
+    assert "host is needed" in catalog.probe(spark, catalog.Connection("p", "mysql"))
+    said = catalog.probe(spark, catalog.Connection("p", "mysql", host="h", port=1, database="d", user="u", password="secret"))
+    assert said and "secret" not in said

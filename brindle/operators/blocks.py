@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: How a blank is marked; double braces go first.
+PLACEHOLDER = r"\{\{\s*([^{}\n]{1,60}?)\s*\}\}|\[\s*([^\[\]\n]{1,60}?)\s*\]|<<\s*([^<>\n]{1,60}?)\s*>>|\{\s*([^{}\n]{1,60}?)\s*\}|(_{4,}|\.{6,})"
+
 
 def markdown_blocks(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, position, type, level, text) of each line of a Markdown text that isn't blank: heading, list, quote, rule, table,
@@ -22,6 +25,16 @@ def markdown_blocks(docs: DataFrame, id_col: str, text_col: str = "text") -> Dat
     return lines.where(~F.col("fence") & (F.trim("line") != "")).select("id", "position", kind.alias("type"), level.alias("level"), bare.alias("text"))
 
 
+def blanks(blocks: DataFrame) -> DataFrame:
+    """(id, position, n, label) of the placeholders of blocks; those with figures only are citations and left out.
+
+    A quick list by line, without layout or precedence: blanks.fields() gives whole fields."""
+    whole = F.regexp_extract_all("text", F.lit(PLACEHOLDER), F.lit(0))
+    found = blocks.select("id", "position", F.posexplode(whole).alias("n", "mark"))
+    label = F.trim(F.regexp_replace("mark", r"^[\[{<\s]+|[\]}>\s]+$", ""))
+    return found.withColumn("label", F.when(F.col("mark").rlike(r"^[_.]+$"), F.lit("")).otherwise(label)).where(~F.col("label").rlike(r"^[\d,\s]+$")).select("id", "position", "n", "label")
+
+
 def fill(text: Column, given: Column) -> Column:
     """A text with {{name}} marks replaced by the values of a map; unknown names stay."""
     names = F.map_keys(given)

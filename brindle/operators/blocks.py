@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,23 +125,46 @@ def snake(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
+#: The numbers at the end of a name, from 2 on.
+NUMBERED = "(?:_(?:[1-9][0-9]++|[2-9]))++$"
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names of the fields (doc, position, base, family), sorted. Of a family what is held are its bases, each with the last number given:
+    b_n is in use if it came as a base, or if b has got as far as n. Numbers only grow, as names don't become free again."""
+    of, last = None, {}
+    for batch in batches:
+        names = []
+        for doc, base, family in zip(*(batch.column(c).to_pylist() for c in ("doc", "base", "family")), strict=True):
+            if (doc, family) != of:
+                of, last = (doc, family), {}
+            before, _, number = base.rpartition("_")
+            if base not in last:
+                given = number.isdecimal() and number[0] != "0" and len(number) < 19 and 1 < int(number) <= last.get(before, 0)
+                if not given:
+                    last[base] = 1
+                    names.append(base)
+                    continue
+            n = last.get(base, 1) + 1
+            while f"{base}_{n}" in last:
+                n += 1
+            last[base] = n
+            names.append(f"{base}_{n}")
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("position"), pa.array(names, pa.string())], ["doc", "position", "name"])
+
+
 def slot_fields(labels: DataFrame) -> DataFrame:
     """The single fields of a slot map: (doc, position, name). labels: (doc, position, role, name, group, instance).
 
-    In reading order a name that is taken gets the first number from 2 on that makes it free: a, a, a_2 become a, a_2, a_2_2. Whether it
-    is depends on all names before, so a document's names are folded, with a map of those in use. Fields without a name are no fields.
+    In reading order a name that is taken gets the first number from 2 on that makes it free: a, a, a_2 become a, a_2, a_2_2. Only names
+    that are alike but for numbers at their end can meet, so each such family of a document is sorted and gone through by itself (see
+    _numbered). Fields without a name are no fields.
     """
     named = labels.where("role = 'field'").select("doc", "position", snake(F.col("name")).alias("base")).where("base <> ''")
-    rows = named.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("position", "base"))).alias("fields"))
-
-    def free(used, base):
-        """The first number that is free: among one more than the names in use there is one."""
-        numbered = F.transform(F.sequence(F.lit(2), F.size(used) + 2), lambda n: F.concat_ws("_", base, n))
-        return F.when(F.array_contains(used, base), F.element_at(F.array_except(numbered, used), 1)).otherwise(base)
-
-    names = F.aggregate("fields", F.array().cast("array<string>"), lambda used, x: F.concat(used, F.array(free(used, x["base"]))))
-    both = rows.select("doc", F.inline(F.arrays_zip("fields", names.alias("name"))))
-    return both.select("doc", "fields.position", "name")
+    family = named.withColumn("family", F.regexp_replace("base", NUMBERED, ""))
+    rows = family.repartition("doc", "family").sortWithinPartitions("doc", "family", "position", "base")
+    kinds = {f.name: f.dataType.simpleString() for f in named.schema}
+    return rows.mapInArrow(_numbered, f"doc {kinds['doc']}, position {kinds['position']}, name string")
 
 
 def slot_groups(labels: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.catalog import table
-from brindle.functions import texts
+from brindle.functions import texts, values
 from brindle.operators import blocks, context, invoice, search, tools
 from brindle.plans import budgets, invoicing, searching
 from brindle.plans.book import Book
@@ -230,7 +230,7 @@ def origins(spark, d):
 
     order = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, d, "conversations").withColumns({"before": F.lag("text").over(order), "first": F.first("text").over(order)})
-    return rows.select("conv_id", "turn", texts.origin(F.upper(F.left("text", F.lit(12))), F.col("before"), F.col("first")).alias("origin"))
+    return rows.select("conv_id", "turn", texts.origin(values.upper_each(F.left("text", F.lit(12))), F.col("before"), F.col("first")).alias("origin"))
 
 
 @query("F45_file_names", r"""SELECT conv_id, turn, left(CASE WHEN s = '' THEN 'document' ELSE s END, 72) AS slug, trim(left(CASE WHEN h = '' THEN 'Document' ELSE h END, 90), ' .-') AS name FROM (SELECT conv_id, turn, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '-') AS s,

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from brindle.functions import texts
+from brindle.functions import texts, values
 from brindle.operators import blocks, chunk, context, invoice, tools
 from brindle.sources import sheets
 
@@ -175,3 +175,11 @@ def test_tools_answer_and_never_raise(spark):
     models = spark.createDataFrame([("a", 0, "cloud", True, True), ("b", 1, "local", False, True), ("c", 2, "local", True, None), ("d", 3, "local", True, True), ("e", 4, "local", True, False)], "id string, position int, provider string, available boolean, tools boolean")
     assert [tools.answering_model(models, p).first().id for p in ("c", "e", "a")] == ["c", "d", "d"]
     assert tools.answering_model(models.where("id = 'a'"), "a").count() == 0
+
+
+def test_origins_of_letters_without_a_capital(spark):
+    """ß has no single capital, Σ has two small ones: case is that of characters, whatever stands around them."""
+    rows = [("Geßbe x", "", "Die geßbe x.", "prompt"), ("οδοσία"[:4], "οδοσία", "", "source"), ("ŉame", "", "of ŉame", "prompt"), ("İz", "so iz", "", "source"), ("Straße", "Strase", "", "model")]
+    given = spark.createDataFrame(rows, "value string, source string, prompt string, want string")
+    found = given.select("value", "want", texts.origin(values.upper_each(F.col("value")), F.col("source"), F.col("prompt")).alias("got")).collect()
+    assert [(r.value, r.got) for r in found] == [(r.value, r.want) for r in found]

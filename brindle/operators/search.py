@@ -5,8 +5,12 @@ from __future__ import annotations
 import functools
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from brindle.functions.values import keywords
 
@@ -16,6 +20,8 @@ RRF = 60
 DIMENSIONS = 64
 #: Questions of a block of a search by meaning: what is broadcast at once.
 BLOCK = 1024
+#: Vectors that a block is multiplied with at once.
+SLICE = 2048
 
 
 @functools.cache
@@ -84,21 +90,64 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _nearest(questions: list, top: int):
+    """A function of Arrow batches (id, own): (question, id, score) of the vectors that may be among the nearest `top` of a question.
+
+    A product of matrices finds them: what is 0.000001 below the best `top` seen in one slice so far can't be among them. Their scores
+    are then summed in the order of the dimensions, as dot() does.
+    """
+
+    def run(batches):
+        sizes: dict[int, list[int]] = {}
+        for at, (_, vector) in enumerate(questions):
+            sizes.setdefault(len(vector), []).append(at)
+        asked = {n: (np.array([questions[i][1] for i in at], dtype=float).reshape(len(at), n), np.array(at)) for n, at in sizes.items()}
+        least = np.full(len(questions), -np.inf)
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column(1)), -1).to_numpy(zero_copy_only=False)
+            for n, (matrix, numbers) in asked.items():
+                rows = np.flatnonzero(lengths == n)
+                for start in range(0, len(rows), SLICE):
+                    part = rows[start : start + SLICE]
+                    own = batch.column(1).take(pa.array(part)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(part), n)
+                    scores = matrix @ own.T
+                    if len(part) >= top:
+                        kth = np.partition(np.where(np.isnan(scores), -np.inf, scores), len(part) - top, axis=1)[:, len(part) - top]
+                        least[numbers] = np.maximum(least[numbers], kth)
+                    floor = least[numbers] - 1.1e-6 - 1e-9 * np.abs(np.where(np.isinf(least[numbers]), 0, least[numbers]))
+                    q, v = np.nonzero(~(scores < floor[:, None]))
+                    exact = np.zeros(len(q))
+                    for i in range(n):
+                        exact += matrix[q, i] * own[v, i]
+                    yield numbers[q], batch.column(0).take(pa.array(part[v])), exact
+
+    return run
+
+
 def by_meaning(vectors: DataFrame, questions: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = CANDIDATES, block: int = BLOCK) -> DataFrame:
-    """The nearest vectors of each question (question, vector): (question, id, score, place). Others of another length are left out.
+    """The nearest vectors of each question (question, vector): (question, id, score, place). Others of another length are left out,
+    as are vectors with a gap.
 
     Every vector is compared with every question. Questions are brought to the tasks in blocks of about `block`, dealt by hash, so what
-    is broadcast at once has one size however many there are; a block's ranking keeps its top rows before anything is shuffled.
+    is sent at once has one size however many there are; a task keeps what may be among the top rows before anything is shuffled.
     """
     blocks = max(1, -(-questions.count() // block))
-    dealt = questions.select("question", "vector", F.pmod(F.xxhash64("question"), F.lit(blocks)).alias("block"))
-    own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("own"))
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    dealt = questions.where(whole("vector")).select("question", "vector", F.pmod(F.xxhash64("question"), F.lit(blocks)).alias("block"))
+    own = vectors.where(whole(vector_col)).select(F.col(id_col).alias("id"), F.col(vector_col).alias("own"))
+    kinds = {"question": questions.schema["question"].dataType, "id": vectors.schema[id_col].dataType}
     place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "id"))
     found = []
     for number in range(blocks):
-        asked = dealt.where(F.col("block") == number).agg(F.collect_list(F.struct("question", "vector")).alias("asked"))
-        both = own.join(F.broadcast(asked)).select("id", "own", F.explode("asked").alias("q")).where(F.size("own") == F.size("q.vector"))
-        scored = both.select(F.col("q.question").alias("question"), "id", F.round(dot(F.col("own"), F.col("q.vector")), 6).alias("score"))
+        asked = [(r.question, r.vector) for r in dealt.where(F.col("block") == number).collect()]
+        names, nearest = pa.array([q for q, _ in asked], to_arrow_type(kinds["question"])), _nearest(asked, top)
+
+        def run(batches, names=names, nearest=nearest):
+            for q, ids, scores in nearest(batches):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids, pa.array(scores)], ["question", "id", "score"])
+
+        scored = own.mapInArrow(run, f"question {kinds['question'].simpleString()}, id {kinds['id'].simpleString()}, score double")
+        scored = scored.withColumn("score", F.round("score", 6))
         found.append(scored.withColumn("place", place.cast("long")).where(F.col("place") <= top))
     return functools.reduce(DataFrame.unionByName, found)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,11 +78,19 @@ def line_pieces(text: str | None, size: int) -> list[str]:
     return done + [now] * bool(now.strip())
 
 
+#: Texts that are cut at once.
+TOGETHER = 128
+
+
 def line_chunks(docs: DataFrame, id_col: str, text_col: str = "text", size: int = 4000) -> DataFrame:
     """One row per piece of line_pieces() with its position."""
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: line_pieces(t, size))
+    def cut(batches):
+        for batch in (whole.slice(at, TOGETHER) for whole in batches for at in range(0, len(whole), TOGETHER)):
+            found = [line_pieces(t, size) for t in batch.column(1).to_pylist()]
+            row = [i for i, pieces_ in enumerate(found) for _ in pieces_]
+            columns = [batch.column(0).take(pa.array(row, pa.int32())), pa.array([n for p in found for n in range(len(p))], pa.int32()), pa.array([x for p in found for x in p], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "position", "piece"])
 
-    return docs.select(id_col, F.posexplode(cut(F.col(text_col))).alias("position", "piece"))
+    rows = docs.select(id_col, text_col)
+    return rows.mapInArrow(cut, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, position int, piece string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brindle.functions import values
+
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FORM = r"\d{2}[A-Z]{5}\d{4}[A-Z][1-9A-Z]Z[0-9A-Z]"
 PAN = r"^[A-Z]{5}\d{4}[A-Z]$"
@@ -49,20 +51,27 @@ def repaired(c: Column, text: Column) -> Column:
     raw = F.upper(F.regexp_replace(c, "[^0-9A-Za-z]", ""))
     inside = F.regexp_extract(raw, FORM, 0)
     raw = F.when((F.length(raw) > 15) & (inside != ""), inside).otherwise(raw)
+    return F.when(F.coalesce(c, F.lit("")) == "", _out(F.lit(""), "empty", "")).otherwise(values.bound(raw, lambda r: _judged(r, text)))
+
+
+def _out(value: Column, level: str, note: str) -> Column:
+    return F.struct(value.alias("value"), F.lit(level).alias("level"), F.lit(note).alias("note"))
+
+
+def _judged(raw: Column, text: Column) -> Column:
     part = lambda a, n, table: F.translate(F.substring(raw, a, n), *table)
     fixed = F.concat(part(1, 2, AS_DIGIT), part(3, 5, AS_LETTER), part(8, 4, AS_DIGIT), part(12, 1, AS_LETTER), F.substring(raw, 13, 3))
     near = F.filter(ids_in(F.coalesce(text, F.lit(""))), lambda g: _distance(g, raw) <= 2)
     swaps = F.array(*[F.concat(F.substring(fixed, 1, at - 1), F.translate(F.substring(fixed, at, 1), *SWAPS), F.substring(fixed, at + 1, 15 - at)) for at in (13, 15)])
     swaps = F.filter(swaps, lambda s: (s != fixed) & valid(s))
-    out = lambda value, level, note: F.struct(value.alias("value"), F.lit(level).alias("level"), F.lit(note).alias("note"))
     return (
-        F.when(F.coalesce(raw, F.lit("")) == "", out(F.lit(""), "empty", ""))
-        .when(raw.rlike(PAN), out(F.lit(""), "empty", "a PAN is given here"))
-        .when(F.length(raw) != 15, out(raw, "check", "an id has 15 characters"))
-        .when(valid(raw), out(raw, "ok", ""))
-        .when((fixed != raw) & valid(fixed), out(fixed, "ok", "characters that look alike were corrected"))
-        .when(F.size(near) == 1, out(F.get(near, F.lit(0)), "ok", "corrected from the text"))
-        .when(F.size(swaps) == 1, out(F.get(swaps, F.lit(0)), "read", "one character was changed; compare"))
-        .when(raw.rlike(f"^{FORM}$"), out(raw, "check", "the check digit doesn't match"))
-        .otherwise(out(raw, "check", "not the form of an id"))
+        F.when(F.coalesce(raw, F.lit("")) == "", _out(F.lit(""), "empty", ""))
+        .when(raw.rlike(PAN), _out(F.lit(""), "empty", "a PAN is given here"))
+        .when(F.length(raw) != 15, _out(raw, "check", "an id has 15 characters"))
+        .when(valid(raw), _out(raw, "ok", ""))
+        .when((fixed != raw) & valid(fixed), _out(fixed, "ok", "characters that look alike were corrected"))
+        .when(F.size(near) == 1, _out(F.get(near, F.lit(0)), "ok", "corrected from the text"))
+        .when(F.size(swaps) == 1, _out(F.get(swaps, F.lit(0)), "read", "one character was changed; compare"))
+        .when(raw.rlike(f"^{FORM}$"), _out(raw, "check", "the check digit doesn't match"))
+        .otherwise(_out(raw, "check", "not the form of an id"))
     )

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from brindle.functions.values import keywords
+from brindle.operators import keyword_blocks
 
-K1, B = 1.2, 0.75
 CANDIDATES = 30
 RRF = 60
 DIMENSIONS = 64
@@ -38,37 +38,31 @@ def folded(c: Column) -> Column:
     return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, *_marked_letters())).otherwise(low)
 
 
+def marks() -> dict[int, int]:
+    """What folded() replaces, for Python's translate()."""
+    return str.maketrans(*_marked_letters())
+
+
 def tokens(c: Column) -> Column:
     """Runs of letters and digits, lower-cased and without diacritics."""
     return F.regexp_extract_all(folded(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(term, id, tf) and (id, length). Each document's terms are counted where it lies before anything is shuffled."""
-    split = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-    terms = split.select("id", F.explode("words").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    return terms, split.select("id", F.size("words").cast("long").alias("length"))
+def question_terms(questions: DataFrame) -> DataFrame:
+    """(question, term): the words that the questions (question, text) are searched by."""
+    return questions.select("question", F.explode(F.array_distinct(tokens(F.array_join(keywords(F.col("text")), " ")))).alias("term"))
 
 
 def bm25(docs: DataFrame, questions: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = CANDIDATES) -> DataFrame:
     """The best documents of each question (question, text): (question, id, score, place); any of its keywords may match.
 
-    Only postings of words that are asked for are kept, which a filter on the exploded words does before the count; so the scan makes
-    the work, and what is shuffled are the matches.
+    Texts are read once. Blocks of documents keep their postings of the words that are asked for, and each gives its best ones. Ids must
+    be unique. The words asked for are sent to all tasks.
     """
-    asked = questions.select("question", F.explode(F.array_distinct(tokens(F.array_join(keywords(F.col("text")), " ")))).alias("term"))
-    split = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-    sizes = split.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("mean_length"))  # one row
-    wanted = asked.select("term").distinct()
-    hits = split.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).join(wanted, "term", "left_semi")
-    tf = hits.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = asked.join(df, "term").join(tf, "term").join(F.broadcast(sizes)).withColumn("part", idf * weight)
-    found = scored.groupBy("question", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "id"))
-    return found.withColumn("place", place.cast("long")).where(F.col("place") <= top)
+    asked = question_terms(questions)
+    wanted = [r.term for r in asked.select("term").distinct().collect()]
+    words = docs.select(F.col(id_col).alias("id"), keyword_blocks.spaced(F.col(text_col)).alias("words"))
+    return keyword_blocks.ranked(keyword_blocks.packed(words, marks(), wanted), asked, top)
 
 
 def words_contained(docs: DataFrame, question: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.base import SLICE_BYTES, cut, release, slices, texts_of
-from brindle.llm.tokens import default_path, token_ids
+from brindle.llm.base import cut, release, slices, texts_of
+from brindle.llm.tokens import SLICE, default_path, token_ids
 
 CAPACITY = 2048
 SHARD = 4000
@@ -125,11 +125,14 @@ def mutate(groups: list[list[int]], lengths: list[int], capacity: int, rng: rand
 
 @dataclass
 class Epoch:
-    """people: groupings, the best first; crossovers: children that crossover made; met: whether the best reaches the lower bound."""
+    """people: groupings, the best first; crossovers: children that crossover made; met: whether the best reaches the lower bound, least;
+    first: bins of the packing by falling length, if the epoch began with it."""
 
     people: list[list[list[int]]]
     crossovers: int
     met: bool
+    least: int
+    first: int | None
 
 
 def first_people(lengths: list[int], capacity: int, rng: random.Random, size: int = POPULATION) -> list[list[list[int]]]:
@@ -143,8 +146,9 @@ def evolve(lengths: list[int], capacity: int, seed: int, start: list[list[list[i
     """One epoch of one island. Each generation crosses two parents both ways and opens bins of the best; the worst of all leave."""
     rng = random.Random(seed)
     if len(lengths) < 2:
-        return Epoch([[[0]]] if lengths else [[]], 0, True)
+        return Epoch([[[0]]] if lengths else [[]], 0, True, len(lengths), len(lengths))
     people = [*start, *first_people(lengths, capacity, rng, max(0, POPULATION - len(start)))]
+    first, least = None if start else len(people[0]), least_bins(lengths, capacity)
     ranked, crossovers = sorted(((_rank(p, lengths, capacity), k, p) for k, p in enumerate(people)), key=lambda x: x[:2]), 0
     for g in range(generations):
         a, b = sorted(rng.sample(range(len(ranked)), 2))
@@ -153,7 +157,7 @@ def evolve(lengths: list[int], capacity: int, seed: int, start: list[list[list[i
         crossovers += 2
         ranked += [(_rank(child, lengths, capacity), len(people) + 3 * g + k, child) for k, child in enumerate(children)]
         ranked = sorted(ranked, key=lambda x: x[:2])[:POPULATION]
-    return Epoch([p for *_, p in ranked], crossovers, ranked[0][0][0] == least_bins(lengths, capacity))
+    return Epoch([p for *_, p in ranked], crossovers, ranked[0][0][0] == least, least, first)
 
 
 # --- shards and islands ------------------------------------------------------
@@ -199,9 +203,7 @@ def islands(items: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD
                 start = [_groups(x) for x in [*(own or []), *([come] if come is not None else [])]]
                 epoch = evolve(sizes, capacity, hash((shard, number, done)), start, generations)
                 best = epoch.people[0]
-                if first is None:
-                    first = len(first_packing(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes, capacity))
-                figures = (len(best), fitness(best, sizes, capacity), len(sizes), first, least_bins(sizes, capacity), done + epoch.crossovers)
+                figures = (len(best), fitness(best, sizes, capacity), len(sizes), epoch.first if first is None else first, epoch.least, done + epoch.crossovers)
                 columns = [[shard], [number], [[_coded(p, len(sizes)) for p in epoch.people]], *([x] for x in figures)]
                 kinds = (pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.int32(), pa.float64(), *[pa.int32()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in ISLAND.split(", ")])
@@ -247,7 +249,7 @@ def pack_lengths(items: DataFrame, capacity: int = CAPACITY, shard_items: int =
 # --- documents ---------------------------------------------------------------
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", at_once: int = SLICE_BYTES) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", at_once: int = SLICE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document: longer ones are cut so that only the first piece may be shorter.
 
     at_once: bytes of text that a task encodes together; fewer take less memory and more time, and the result is the same.
@@ -275,7 +277,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.inline(cut_up(F.col(text_col))))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", at_once: int = SLICE_BYTES) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", at_once: int = SLICE) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every document is packed whole (a null text is the end id alone), repeated rows as often as they occur, and null ids like others.

@@ -180,6 +180,21 @@ def test_components_of_a_path(spark):
 # --- tokens, files, packing --------------------------------------------------
 
 
+def test_words_and_marks_are_encoded_once(monkeypatch):
+    """Words go to the model once, whatever stands behind them; the tokenizer's pattern gets no word."""
+    path, r = tokens.default_path(), random.Random(3)
+    words = ["".join(r.choices("abzÉÿöñÀ", k=r.randint(1, 9))) for _ in range(60)]
+    odd = ["it's", "we'll.", "a<|endoftext|>b", "x×y", "ª1", "÷", "µm", "3rd,", "ſt", "日本."]
+    texts = [" ".join(w + m for w in words for m in ("", *"!.-_<|>^]", "...", "?!")), " ".join(odd), "\n".join(words + odd), ""]
+    given, encode = [], tokens._encode
+    monkeypatch.setattr(tokens, "_known", {})
+    monkeypatch.setattr(tokens, "_encode", lambda p, t: given.extend(t) or encode(p, t))
+    ids, lengths = tokens.token_ids(pa.array(texts, pa.large_string()), path)
+    want = [tokens.tokenizer(path).encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert ids.tolist() == [x for w in want for x in w] and lengths.tolist() == list(map(len, want))
+    assert sum(map(len, given)) < 200
+
+
 def test_token_ids_equal_the_tokenizer(docs):
     path, rng = tokens.default_path(), random.Random(1)
     encode = lambda t: tokens.tokenizer(path).encode(t, add_special_tokens=False).ids + [0]

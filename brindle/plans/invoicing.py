@@ -23,12 +23,14 @@ def records(spark, d):
     """One record per order, as a reader of pages would give it."""
     lines = table(spark, d, "lineitem")
     text = lambda c: F.format_string("%.2f", c)
-    item = F.struct(F.concat(F.lit("part "), F.col("l_partkey")).alias("Description"), F.col("l_quantity").cast("long").cast("string").alias("Qty"), text(F.col("l_extendedprice") / F.col("l_quantity")).alias("UnitPrice"), text(F.col("l_extendedprice")).alias("Amount"), F.lit("").alias("HSNSAC"))
+    item = lambda x: F.struct(F.concat(F.lit("part "), x["l_partkey"]).alias("Description"), x["l_quantity"].cast("long").cast("string").alias("Qty"), text(x["l_extendedprice"] / x["l_quantity"]).alias("UnitPrice"), text(x["l_extendedprice"]).alias("Amount"), F.lit("").alias("HSNSAC"))
     per_order = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.round(F.sum("l_extendedprice") * 100).cast("long").alias("cents"),
         F.min("l_suppkey").alias("s_suppkey"),
-        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", item.alias("item")))), lambda x: x["item"]).alias("Items"),
+        F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")).alias("lines"),
     )
+    made = F.transform("lines", lambda x: F.struct(x["l_linenumber"], x["l_partkey"], item(x).alias("item")))  # figures are shuffled, not their texts
+    per_order = per_order.withColumn("Items", F.transform(F.array_sort(made), lambda x: x["item"])).drop("lines")
     per_order = per_order.withColumns({"net": F.col("cents") / 100, "tax": F.floor(F.col("cents") * 18 / 100) / 100})
     orders = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
     rows = orders.join(per_order, "o_orderkey", "left").join(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey", "left")

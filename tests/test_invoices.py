@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from brindle.functions import values
 from brindle.operators import invoice, pages
 from test_domain import record
 
@@ -111,6 +112,26 @@ def test_merged_pages_equal_plain_code(spark, seed):
         assert r["confidence"] == pytest.approx(confidence, abs=0.011)
 
 
+def test_pages_are_folded_by_columns_in_slices(spark, monkeypatch):
+    """Some pages at once or all of them, also with an invoice over several slices: the same invoices."""
+    given = made(2, 150) + [record(InvoiceId="L-1", lines=[(f"line {i}", "", "", "1.00", "")], page=i) | {"file": "long.pdf"} for i in range(30)]
+    read = invoice.read(frame(spark, given), 2026)
+    rows = read.withColumns({"_key": F.regexp_replace(F.lower("InvoiceId"), "[^0-9a-z]", ""), "_seller": values.plain(F.col("VendorName"))}).orderBy("file", "page", "InvoiceId").toArrow()
+    batches, names = rows.combine_chunks().to_batches(), pages._schema(read)[1]
+    at_once = [x for b in pages.folded(batches, names) for x in b.to_pylist()]
+    monkeypatch.setattr(pages, "TOGETHER", 4)
+    assert [x for b in pages.folded(batches, names) for x in b.to_pylist()] == at_once
+    (long,) = [x for x in at_once if x["file"] == "long.pdf"]
+    assert long["page_numbers"] == list(range(30)) and [x["Description"] for x in long["Items"]] == [f"line {i}" for i in range(30)]
+
+
+def test_tidy_texts_skip_the_cleaning(spark):
+    given = {"oak lamp": "oak lamp", "N/A": "", " a": "a", '"a" ': "a", "a  b": "a b", "a,": "a", "a, , b": "a, b", "a\nb": "a, b", "a\n": "a", "": "", None: ""}
+    rows = spark.createDataFrame([(k, v) for k, v in given.items()], "c string, want string")
+    assert [(r.c, r.got) for r in rows.select("c", "want", values.answer(F.col("c")).alias("got")).where("got <> want").collect()] == []
+    assert rows.where(F.col("c").rlike(values.TIDY)).count() == 2
+
+
 def test_lines(spark):
     lines = [("", "", "", "", ""), ("Grand Total", "", "", "500", ""), ("desk ;,", "2", "100", "about ten", "HSN 7318 / 7319, 7318"), ("oak lamp", "1", "9% 50", "50.00", "12"), ("chair", "3", "5", "16.50", "")]
     row = invoice.read(frame(spark, [record(lines=lines, page_text="an oak lamp")]), 2026).select(F.inline("Items")).collect()

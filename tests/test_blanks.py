@@ -163,3 +163,21 @@ def test_odd_blanks(spark):
     assert [(f.label, len(f.spots)) for f in got if f.id == 1] == [("A", 3), ("{{a}} {{a}} {{a}}", 1), ("Blank 2", 1)]
     assert [(f.label, f.spots[0].start) for f in got if f.id == 2] == [("End", 100001)] and sum(f.id == 4 for f in got) == 200 and not any(f.id == 3 for f in got)
     assert blanks.fields(spark.createDataFrame([], "id int, position int, text string")).count() == 0
+
+
+def test_lines_are_dealt_to_tasks_before_they_are_looked_at(spark):
+    rows = spark.range(0, 64, 1, 1).select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("position"), F.concat(F.lit("{{a}} of "), "id", F.lit(":")).alias("text"))
+    found = blanks.fields(rows)
+    above, *below = found._jdf.queryExecution().executedPlan().toString().split("ArrowEvalPython")
+    assert len(below) == 1 and "Exchange hashpartitioning(id" in below[0]  # once, and behind a shuffle
+    assert sorted((f.id, f.how, f.label, len(f.spots)) for f in found.collect()) == [(i, "placeholder", "A", 2) for i in range(64)]
+
+
+def test_lines_that_ask_beside_lines_with_blanks(spark):
+    rows = [(1, 0, ":"), (1, 1, "Phone:"), (1, 2, "____"), (1, 3, "Sum {{x}}:"), (2, 0, "See mm and here, XXXX or dd-MM-yy, Enter your name here."), (2, 1, "… ….. ……")]
+    got = blanks.fields(spark.createDataFrame(rows, "id int, position int, text string")).orderBy("id", "field").collect()
+    assert [(f.id, f.field, f.how, f.label, f.current, *f.spots[0]) for f in got] == [
+        (1, 1, "label", "Blank 1", "", 0, None, None, "append"), (1, 2, "label", "Phone", "", 1, None, None, "append"), (1, 3, "blank", "Sum {{x}}", "____", 2, 0, 4, "span"), (1, 4, "placeholder", "X", "{{x}}", 3, 4, 9, "span"),
+        (2, 1, "sample", "See mm and here,", "XXXX", 0, 17, 21, "span"), (2, 2, "sample", "or", "dd-MM-yy", 0, 25, 33, "span"), (2, 3, "sample", "Enter your name here.", "Enter your name here.", 0, 35, 56, "span"),
+        (2, 4, "blank", rows[4][2], "……", 1, 6, 8, "span"),
+    ]

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from contextlib import contextmanager
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.sources import stores
 
 PER_MESSAGE, PER_IMAGE = 8, 800
 LEAST_ANSWER, MOST_ANSWER = 1024, 4096
+#: What a Python task holds of texts to be noted: bytes that Spark sends it at once, and texts that are Python objects at once.
+BATCH_BYTES, TOGETHER = 4 << 20, 64
 
 
 def estimate(c: Column) -> Column:
@@ -110,12 +114,27 @@ def running(rows: DataFrame, group: str, order: str, cost: str, width: int = 102
     return ranged.join(sums, [group, "_range"]).withColumn("upto", F.col("_before") + within).drop("_range", "_before")
 
 
-def _mapped(f):
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(f)
+def _mapped(rows: DataFrame, f) -> DataFrame:
+    """rows with their text replaced by f's result."""
+
+    def run(batches):
+        for batch in (whole.slice(at, TOGETHER) for whole in batches for at in range(0, len(whole), TOGETHER)):
+            i = batch.schema.get_field_index("text")
+            yield batch.set_column(i, "text", pa.array([f(t) for t in batch.column(i).to_pylist()], pa.string(), from_pandas=True))
+
+    return rows.mapInArrow(run, rows.schema)
+
 
-    return run
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """What runs within gets its rows in batches of about BATCH_BYTES or of one row, so that a task's memory doesn't grow with the texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
 
 
 def _kept(rows: DataFrame, f, cache: str, model: str, size: int, blocks: int) -> DataFrame:
@@ -131,7 +150,7 @@ def _kept(rows: DataFrame, f, cache: str, model: str, size: int, blocks: int) ->
         missing = missing.join(stores.read(spark, cache).select("_key"), "_key", "left_anti")
     for block in range(0 if missing.isEmpty() else blocks):
         folder = stores.new_folder(cache)
-        missing.where(F.pmod(F.xxhash64("_key"), F.lit(blocks)) == block).select("_key", _mapped(f)("text").alias("made")).write.parquet(folder)
+        missing.where(F.pmod(F.xxhash64("_key"), F.lit(blocks)) == block).transform(_mapped, f).withColumnRenamed("text", "made").write.parquet(folder)
         stores.point(spark, cache, [*stores.folders(spark, cache), folder])
     if not stores.folders(spark, cache):
         return rows
@@ -141,7 +160,7 @@ def _kept(rows: DataFrame, f, cache: str, model: str, size: int, blocks: int) ->
 def summarised(parts: DataFrame, note, combine, limit: int, group_tokens: int, rounds: int = 3, cache: str | None = None, model: str = "", blocks: int = 8) -> DataFrame:
     """Notes of the parts of files (name, part, text), combined group by group until a file's notes fit the limit.
 
-    note and combine are callables on one text each, run in Arrow batches; rounds are jobs, not rows, on the driver. With the path of a
+    note and combine are callables on one text each, run in Arrow batches of bounded size; rounds are jobs, not rows, on the driver. With the path of a
     cache, results are kept there by model, group size and text, and are not worked out twice, nor again after a run was killed.
     """
 
@@ -149,9 +168,10 @@ def summarised(parts: DataFrame, note, combine, limit: int, group_tokens: int, r
 
     def made(rows: DataFrame, f, what: str) -> DataFrame:
         """A round's results, stored, as the next round reads them twice."""
-        found = rows.withColumn("text", _mapped(f)("text")) if cache is None else _kept(rows, f, cache, f"{model}|{what}", group_tokens, blocks)
         folder = stores.new_folder(f"{stores.shared_dir(spark)}/notes")
-        found.write.parquet(folder)
+        with _small_batches(spark):
+            found = _mapped(rows, f) if cache is None else _kept(rows, f, cache, f"{model}|{what}", group_tokens, blocks)
+            found.write.parquet(folder)
         return spark.read.parquet(folder)
 
     notes = made(parts.select("name", F.col("part").cast("long").alias("part"), "text"), note, "note")

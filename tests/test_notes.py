@@ -59,6 +59,24 @@ def test_nothing_is_worked_out_twice(spark, tmp_path):
     assert made()[0] == seen[0] + 12
 
 
+def test_a_worker_holds_few_texts_at_once(spark):
+    def note(text):
+        import tracemalloc  # of the worker; what it held before its first text isn't counted
+
+        if not tracemalloc.is_tracing():
+            tracemalloc.start()
+        most = tracemalloc.get_traced_memory()[1]
+        if text.startswith("5999 "):
+            tracemalloc.stop()
+        return str(most)
+
+    usual = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    parts = spark.range(0, 6000, 1, 1).select(F.lit("f").alias("name"), F.col("id").alias("part"), F.concat("id", F.lit(" "), F.repeat(F.lit("x"), 16000)).alias("text"))
+    most = budget.summarised(parts, note, str, 10**9, 10**9).agg(F.count("*"), F.max(F.col("text").cast("long"))).first()
+    assert most[0] == 6000 and most[1] < 16 << 20  # of 96 MB
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == usual
+
+
 def test_without_parts(spark, tmp_path):
     none = spark.createDataFrame([], "name string, part int, text string")
     assert budget.summarised(none, str, str, 10, 10, cache=str(tmp_path / "c")).where(F.col("text").isNotNull()).count() == 0

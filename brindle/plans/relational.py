@@ -11,6 +11,9 @@ from brindle.plans.book import Book
 BOOK = Book()
 query = BOOK.query
 
+#: Parts of one text that one row of a join holds.
+PARTS_TOGETHER = 1024
+
 # --- projections and filters -------------------------------------------------
 
 
@@ -156,35 +159,42 @@ def containment_join(spark, d):
 
 @query(
     "J09_near_match",
-    """WITH c AS (SELECT p_brand, p_size, p_type, min(p_partkey) AS id FROM part WHERE p_brand IS NOT NULL AND p_size IS NOT NULL AND p_type IS NOT NULL GROUP BY ALL)
-       SELECT a.id AS a, b.id AS b, false AS same FROM c a JOIN c b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND length(a.p_type) = length(b.p_type) AND a.id < b.id WHERE hamming(a.p_type, b.p_type) <= 2
-       UNION ALL SELECT id, p_partkey, true FROM part JOIN c USING (p_brand, p_size, p_type) WHERE p_partkey > id""",
+    """SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND length(a.p_type) = length(b.p_type) AND a.p_partkey < b.p_partkey
+       WHERE hamming(a.p_type, b.p_type) <= 2""",
 )
 def near_match(spark, d):
-    """Parts of one brand and size whose type texts have one length and differ in two places at most: pairs of the first parts of equal
-    ones, and (same) which parts each of these stands for.
+    """All pairs of parts of one brand and size whose type texts have one length and differ in two places at most.
 
-    Texts that differ in two places have one of their three thirds in common, so they are joined on it; a pair comes from its first one.
+    Texts are compared once, however many parts have them: those that differ in two places have one of their three thirds in common, so
+    they are joined on it; a pair comes from its first one. Then the parts of near texts, and of one text, are paired block by block.
     """
     keys = ["p_brand", "p_size", "p_type"]
     part = table(spark, d, "part").select("p_partkey", *keys).dropna()
-    classes = part.groupBy(*keys).agg(F.min("p_partkey").alias("id")).withColumn("n", F.length("p_type"))
+    classes = part.groupBy(*keys).agg(F.count("*").alias("parts")).withColumn("n", F.length("p_type"))
     start = lambda i: F.floor(F.col("n") * i / 3).cast("int")
     thirds = F.array(*[F.substr("p_type", start(i) + 1, start(i + 1) - start(i)) for i in range(3)])
     block = ["p_brand", "p_size", "n"]
 
-    def cut(id_name: str, text_name: str, thirds_name: str):
-        rows = classes.select(*block, F.col("id").alias(id_name), F.col("p_type").alias(text_name), thirds.alias(thirds_name))
+    def cut(text_name: str, thirds_name: str):
+        rows = classes.select(*block, F.col("p_type").alias(text_name), thirds.alias(thirds_name))
         number = F.explode(F.array(*map(F.lit, range(3)))).alias("third")
         return rows.select("*", number).withColumn("text", F.get(thirds_name, "third"))
 
-    pairs = cut("a", "own", "thirds").join(cut("b", "other", "others"), [*block, "third", "text"]).where("a < b")
+    pairs = cut("own", "thirds").join(cut("other", "others"), [*block, "third", "text"]).where("own < other")
     pairs = pairs.where(F.forall(F.sequence(F.lit(0), F.lit(2)), lambda i: (i >= F.col("third")) | (F.get("thirds", i) != F.get("others", i))))
     places = F.sequence(F.lit(1), F.greatest("n", F.lit(1)))
     differ = F.aggregate(places, F.lit(0), lambda s, i: s + (F.substring("own", i, F.lit(1)) != F.substring("other", i, F.lit(1))).cast("int"))
-    near = pairs.where(differ <= 2).select("a", "b", F.lit(False).alias("same"))
-    copies = part.join(classes, keys).where("p_partkey > id").select(F.col("id").alias("a"), F.col("p_partkey").alias("b"), F.lit(True).alias("same"))
-    return near.unionByName(copies)
+    near = pairs.where(differ <= 2).select("p_brand", "p_size", "own", "other")
+    near = near.unionByName(classes.select("p_brand", "p_size", F.col("p_type").alias("own"), F.col("p_type").alias("other")))
+
+    number = F.pmod(F.xxhash64("p_partkey"), F.ceil(F.col("parts") / PARTS_TOGETHER))
+    dealt = part.join(classes, keys).groupBy(*keys, number.alias("number")).agg(F.collect_list("p_partkey").alias("members"))
+    side = lambda text, x: dealt.select("p_brand", "p_size", F.col("p_type").alias(text), F.col("number").alias(f"{x}_number"), F.col("members").alias(f"{x}_members"))
+    met = near.join(side("own", "x"), ["p_brand", "p_size", "own"]).join(side("other", "y"), ["p_brand", "p_size", "other"])
+    one, within = F.col("own") == F.col("other"), F.col("x_number") == F.col("y_number")
+    met = met.where(~one | (F.col("x_number") <= F.col("y_number"))).select((one & within).alias("within"), F.explode("x_members").alias("x"), "y_members")
+    met = met.select("within", "x", F.explode("y_members").alias("y")).where(F.when(F.col("within"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 @query("J10_keyed_lookup", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")

@@ -201,24 +201,19 @@ def test_formula_marks_are_neutralised(spark):
     assert [r.c for r in cells.collect()] == ["'=1", "'@a", "'+x", "-5"]
 
 
-def test_near_match_keeps_every_link(spark, tmp_path):
-    """Pairs of first parts and whom they stand for make all pairs of near texts again, copies too."""
+@pytest.mark.parametrize("together", [1024, 3])
+def test_near_match_gives_every_pair(spark, tmp_path, monkeypatch, together):
+    """All pairs of parts with near texts, those of one text too, also if the parts of a text lie in several blocks."""
     from brindle.plans import relational
 
+    monkeypatch.setattr(relational, "PARTS_TOGETHER", together)
     rng = random.Random(9)
     rows = [(i, rng.choice(["B1", "B2", None]), rng.choice([1, 2]), "".join(rng.choice("ab") for _ in range(rng.choice([0, 1, 2, 5, 7])))) for i in range(300)]
     spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_type string").write.parquet(f"{tmp_path}/part.parquet")
-    found = relational.near_match(spark, str(tmp_path)).collect()
-    stands = {}
-    for r in found:
-        if r.same:
-            stands.setdefault(r.a, [r.a]).append(r.b)
-    group = lambda a: stands.get(a, [a])
-    got = [tuple(sorted((x, y))) for r in found if not r.same for x in group(r.a) for y in group(r.b)]
-    got += [(x, y) for g in stands.values() for x in g for y in g if x < y]
     alike = lambda x, y: x[1] is not None and x[1:3] == y[1:3] and len(x[3]) == len(y[3]) and sum(a != b for a, b in zip(x[3], y[3], strict=True)) <= 2
-    assert sorted(got) == [(x[0], y[0]) for i, x in enumerate(rows) for y in rows[i + 1 :] if alike(x, y)]
-    assert len(found) < len(got)
+    found = relational.near_match(spark, str(tmp_path))
+    assert found.columns == ["a", "b"]
+    assert sorted(map(tuple, found.collect())) == [(x[0], y[0]) for i, x in enumerate(rows) for y in rows[i + 1 :] if alike(x, y)]
 
 
 def test_by_meaning_keeps_the_nearest_in_slices(spark):

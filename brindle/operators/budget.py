@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from contextlib import contextmanager
+from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,12 +18,15 @@ PER_MESSAGE, PER_IMAGE = 8, 800
 LEAST_ANSWER, MOST_ANSWER = 1024, 4096
 #: What a Python task holds of texts to be noted: bytes that Spark sends it at once, and texts that are Python objects at once.
 BATCH_BYTES, TOGETHER = 4 << 20, 64
+#: A sentence, or a piece of a long one up to where a word ends; and the words by which sentences are weighed.
+SENTENCE = re.compile(r"[^.!?。\n]{1,200}(?![^\s.!?。\n])[.!?。]*|[^.!?。\n]{200}")
+WEIGHTY = re.compile(r"[^\W\d_]{4,}")
 
 
 def estimate(c: Column) -> Column:
     """Tokens of a text, on the high side: 3.8 ASCII characters, 2.2 digits or 1.5 other characters each, and a tenth more."""
-    digits = F.length(F.regexp_replace(c, "[^0-9]", ""))
-    plain = F.length(F.regexp_replace(c, r"[^\x00-\x7F]", ""))
+    digits = F.length(F.regexp_replace(c, "[^0-9]+", ""))
+    plain = F.length(F.regexp_replace(c, r"[^\x00-\x7F]+", ""))
     tokens = ((plain - digits) / 3.8 + digits / 2.2 + (F.length(c) - plain) / 1.5) * 1.1
     return F.when(F.length(c) > 0, F.floor(tokens) + 1).otherwise(0).cast("long")
 
@@ -109,9 +116,25 @@ def running(rows: DataFrame, group: str, order: str, cost: str, width: int = 102
     sums = ranged.groupBy(group, "_range").agg(F.sum(cost).alias("_sum"))
     by_group = Window.partitionBy(group)
     before = F.sum("_sum").over(by_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select(group, "_range", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_sum").over(by_group).alias("total"))
+    sums = sums.select(F.col(group).alias("_group"), F.col("_range").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_sum").over(by_group).alias("total"))
     within = F.sum(cost).over(Window.partitionBy(group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.join(sums, [group, "_range"]).withColumn("upto", F.col("_before") + within).drop("_range", "_before")
+    here = F.col(group).eqNullSafe(F.col("_group")) & F.col("_range").eqNullSafe(F.col("_of"))  # rows without a group or a place are some, too
+    return ranged.withColumn("upto", within).join(sums, here).withColumn("upto", F.col("_before") + F.col("upto")).drop("_range", "_before", "_group", "_of")
+
+
+def gist(text: str, room: int) -> str:
+    """What a stand-in for a model says of a text, all of which it reads: the sentences whose words are the most frequent ones of the text,
+    in the text's order, as many as have room, and one at least."""
+    sentences = [x for x in map(str.strip, SENTENCE.findall(text)) if x]
+    words = [WEIGHTY.findall(x.lower()) for x in sentences]
+    counts = Counter(chain.from_iterable(words))
+    weight = [sum(counts[w] for w in own) / (len(own) + 3) for own in words]  # as if it had three words more, lest a single word be the best sentence
+    kept, used = [], 0
+    for i in sorted(range(len(sentences)), key=lambda i: -weight[i]):
+        if not kept or used + len(sentences[i]) <= room:
+            kept.append(i)
+            used += len(sentences[i]) + 1
+    return " ".join(sentences[i] for i in sorted(kept))
 
 
 def _mapped(rows: DataFrame, f) -> DataFrame:
@@ -157,32 +180,37 @@ def _kept(rows: DataFrame, f, cache: str, model: str, size: int, blocks: int) ->
     return keyed.join(stores.read(spark, cache), "_key").withColumn("text", F.col("made")).drop("_key", "made")
 
 
-def summarised(parts: DataFrame, note, combine, limit: int, group_tokens: int, rounds: int = 3, cache: str | None = None, model: str = "", blocks: int = 8) -> DataFrame:
+def summarised(parts: DataFrame, note, combine, limit: int, group_tokens: int, rounds: int | None = None, cache: str | None = None, model: str = "", blocks: int = 8) -> DataFrame:
     """Notes of the parts of files (name, part, text), combined group by group until a file's notes fit the limit.
 
-    note and combine are callables on one text each, run in Arrow batches of bounded size; rounds are jobs, not rows, on the driver. With the path of a
-    cache, results are kept there by model, group size and text, and are not worked out twice, nor again after a run was killed.
+    note and combine are callables on one text each, run in Arrow batches of bounded size; rounds are jobs, not rows, on the driver. They go
+    on until all files fit, or after the given number of rounds, or one that made the notes of what is left neither fewer nor shorter:
+    nothing is cut off then. With the path of a cache, results are kept there by model, group size and text, and are not worked out twice,
+    nor again after a run was killed.
     """
 
     spark = parts.sparkSession
 
     def made(rows: DataFrame, f, what: str) -> DataFrame:
-        """A round's results, stored, as the next round reads them twice."""
+        """A round's results with their costs, stored, as the next round reads them more than once."""
         folder = stores.new_folder(f"{stores.shared_dir(spark)}/notes")
         with _small_batches(spark):
             found = _mapped(rows, f) if cache is None else _kept(rows, f, cache, f"{model}|{what}", group_tokens, blocks)
-            found.write.parquet(folder)
+            found.withColumn("cost", estimate(F.col("text"))).write.parquet(folder)
         return spark.read.parquet(folder)
 
     notes = made(parts.select("name", F.col("part").cast("long").alias("part"), "text"), note, "note")
-    for _ in range(rounds):
-        sized = running(notes.withColumn("cost", estimate(F.col("text"))).select("name", "part", "cost"), "name", "part", "cost")
-        group = F.floor((F.col("upto") - 1) / group_tokens)
-        dealt = notes.join(sized.select("name", "part", "total", group.alias("group")), ["name", "part"])
-        done, todo = dealt.where(F.col("total") <= limit).select("name", "part", "text"), dealt.where(F.col("total") > limit)
-        if todo.isEmpty():
-            break
+    done, before, turn = [], None, 0
+    while True:
+        fits = F.col("total") <= limit
+        files = notes.groupBy("name").agg(F.sum("cost").alias("total"), F.count("*").alias("n"))
+        fit, *left = files.agg(F.count_if(fits), F.sum(F.when(~fits, F.col("n"))), F.sum(F.when(~fits, F.col("total")))).first()
+        if left[0] is None or turn == rounds or (before is not None and left >= before):
+            return reduce(DataFrame.unionByName, [*done, notes.drop("cost")])
+        sized = running(notes, "name", "part", "cost")
+        if fit:
+            done.append(sized.where(fits).select("name", "part", "text"))
         lines = F.array_sort(F.collect_list(F.struct("part", "text")))
-        joined = todo.groupBy("name", "group").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n\n").alias("text"))
-        notes = done.unionByName(made(joined.select("name", F.col("group").cast("long").alias("part"), "text"), combine, "combine"))
-    return notes
+        groups = sized.where(~fits).groupBy("name", F.floor((F.col("upto") - 1) / group_tokens).cast("long").alias("part"))
+        notes = made(groups.agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n\n").alias("text")), combine, "combine")
+        before, turn = left, turn + 1

@@ -105,9 +105,10 @@ def choose_files(spark, d):
 
 @query("C10_notes")
 def notes(spark, d):
-    """Documents as files of parts; the stand-in for a model keeps the first sentence."""
+    """Documents as files of parts; the stand-in for a model reads a whole text and keeps the sentences that say most, a quarter of a part
+    and half of notes, until a file's notes fit."""
     parts = table(spark, d, "documents").select(F.col("source").alias("name"), F.col("doc_id").alias("part"), "text")
-    return budget.summarised(parts, lambda t: (t or "").split(".")[0][:200], lambda t: t[: len(t) // 2], 2000, 4000)
+    return budget.summarised(parts, lambda t: budget.gist(t or "", len(t or "") // 4), lambda t: budget.gist(t, len(t) // 2), 2000, 4000)
 
 
 @query("C11_stable_part", "SELECT conv_id, '<rules>' || string_agg(role || ': ' || CASE WHEN length(text) > 400 THEN '[file text]' ELSE text END, chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")

@@ -80,3 +80,49 @@ def test_a_worker_holds_few_texts_at_once(spark):
 def test_without_parts(spark, tmp_path):
     none = spark.createDataFrame([], "name string, part int, text string")
     assert budget.summarised(none, str, str, 10, 10, cache=str(tmp_path / "c")).where(F.col("text").isNotNull()).count() == 0
+
+
+def test_rounds_go_on_until_notes_fit(spark):
+    """Against plain loops: files that need more than three rounds, one that fits at once, one without a name, a part without a text."""
+    limit, together = 40, 60
+    rows = [(f, i, None if i == 3 else " ".join(f"sentence {k} of part {i} {'matter ' * (k % 4)}." for k in range(6))) for f, n in (("long", 90), ("short", 4), (None, 40)) for i in range(n)]
+    note, combine = (lambda t: budget.gist(t or "", len(t or "") // 4)), (lambda t: budget.gist(t, len(t) // 2))
+
+    def tokens(text):
+        digits = sum(c in "0123456789" for c in text)
+        return int(((len(text) - digits) / 3.8 + digits / 2.2) * 1.1) + 1 if text else 0
+
+    want, rounds = [], {}
+    for f in ("long", "short", None):
+        notes = [(i, note(t)) for g, i, t in rows if g == f]
+        while sum(tokens(t) for _, t in notes) > limit:
+            groups, upto = {}, 0
+            for _, t in notes:
+                upto += tokens(t)
+                groups.setdefault((upto - 1) // together, []).append(t)
+            notes = [(g, combine("\n\n".join(texts))) for g, texts in groups.items()]
+            rounds[f] = rounds.get(f, 0) + 1
+        want += [(f, i, t) for i, t in notes]
+    assert rounds["long"] > 3 and "short" not in rounds
+    got = budget.summarised(spark.createDataFrame(rows, "name string, part int, text string").repartition(5), note, combine, limit, together)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_rounds_end_where_nothing_gets_shorter(spark):
+    parts = spark.createDataFrame([("f", i, f"part {i}") for i in range(9)] + [("g", 0, "brief")], "name string, part int, text string")
+    got = budget.summarised(parts, lambda t: t, lambda t: t, 8, 10).collect()
+    assert sorted(x for r in got for x in r.text.split("\n\n")) == ["brief", *(f"part {i}" for i in range(9))]  # nothing is cut off
+
+
+def test_a_note_is_of_the_whole_text(spark, tmp_path):
+    """What a text says most of counts wherever it stands, and every file's notes fit in the end."""
+    from brindle.plans import budgets
+
+    filler = " ".join(f"The {chr(97 + i % 26)}word{chr(97 + i // 26)} is it." for i in range(300))
+    end = "Turbines turn turbines."
+    assert end in budget.gist(f"First of all. {filler} {end} {end}", 60)
+    assert budget.gist("", 0) == "" and budget.gist("漢" * 500, 100) == "漢" * 200
+    docs = [(i, "s" if i % 9 else None, f"Document {i} begins. {filler} {end} {end}" if i else None) for i in range(120)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    files = budgets.notes(spark, str(tmp_path)).groupBy("name").agg(F.sum(budget.estimate(F.col("text"))).alias("n"), F.max(F.contains("text", F.lit("Turbines"))).alias("told")).collect()
+    assert {r.name for r in files} == {"s", None} and all(0 < r.n <= 2000 and r.told for r in files)
